@@ -13,11 +13,11 @@ windows as (
   from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)
 ),
 sizes as (select distinct n from windows),
-at as (
+places as (
   select doc_id, i, s.n, array_to_string(w[i : i + s.n - 1], ' ') as key
   from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), sizes s where i + s.n - 1 <= len(w)
 ),
-hits as (select doc_id, i, h.n, item_id from at h join windows using (n, key)),
+hits as (select doc_id, i, h.n, item_id from places h join windows using (n, key)),
 hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hits) group by doc_id),
 own as (
   select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
@@ -32,7 +32,7 @@ OP7 = """
 with c as (select distinct vec_id, embedding as e from embeddings where vec_id is not null and embedding is not null),
 p as (
   select a.vec_id as query_id, b.vec_id,
-    cast(list_sum(list_transform(range(1, len(a.e) + 1), i -> case when (a.e[i] > 0) <> (b.e[i] > 0) then 1 else 0 end)) as integer) as distance
+    cast(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: case when (a.e[i] > 0) <> (b.e[i] > 0) then 1 else 0 end)) as integer) as distance
   from c a join c b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
 )
 select query_id, vec_id, distance, cast(rank as integer) as rank
