@@ -15,6 +15,8 @@ corpus needs no place in a suffix array. Neighbouring strings of one anchor occu
 3. Contexts: the asked bytes are cut from the texts and dealt out by anchor hash again.
 4. Shards: whole anchor groups fill a shard; its suffix array is built by induced sorting, its permuted common prefixes
    give runs of equal strings, and all but the first start of a run are repeats.
+   A common anchor (by a sample of documents, or with more than ``most_contexts`` different contexts) is dealt out by
+   context in step 2 and string by string in step 3, by the strings' own hashes, so no anchor has to fit one task.
 5. Digest: repeated strings meet the texts by document and the covered bytes are cut out.
 
 Defined results: a null text is empty; a text below ``length`` bytes loses nothing; rows that repeat a doc_id count as
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialise, shuffle_width
+from .common import bounded_sample, materialise, shuffle_width
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -61,6 +63,16 @@ def gram_hashes(buffer: np.ndarray, gram: int) -> np.ndarray:
     return _mix(h)
 
 
+def _covering(h: np.ndarray, lo: np.ndarray, more: np.ndarray, length: int, gram: int, seed: int = 0) -> np.ndarray:
+    """Hashes of the bytes from lo to lo + more + length, from runs that cover them, and of more."""
+    total = more.astype(np.uint64) + np.uint64(seed)
+    reach = more + length - gram
+    for k in range(-(-(2 * length - gram) // gram)):
+        total = (total ^ h[lo + np.minimum(k * gram, reach)]) * _M[k & 1]
+        total ^= total >> np.uint64(31)
+    return _mix(total)
+
+
 def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, context hash, first and last string start of every context of the documents in a buffer."""
     empty = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -87,12 +99,7 @@ def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
     last[change] = True
     last[ends[long] - length] = True
     lo, hi = np.flatnonzero(first & valid), np.flatnonzero(last & valid)
-    total = (hi - lo).astype(np.uint64)
-    reach = hi - lo + length - gram
-    for k in range(-(-(2 * length - gram) // gram)):
-        total = (total ^ h[lo + np.minimum(k * gram, reach)]) * _M[k & 1]
-        total ^= total >> np.uint64(31)
-    return h[owner[lo]], _mix(total), lo, hi
+    return h[owner[lo]], _covering(h, lo, hi - lo, length, gram), lo, hi
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -114,7 +121,7 @@ def gathered(parts: list[bytes], *kinds: str) -> list[np.ndarray]:
 
 FOUND = ("<u8", "<u8", "<i8", "<u4", "u1")  # anchor, context, document, first start, strings
 SPAN = ("<i8", "<u4", "<u4")  # document, first and last start
-WANT = ("<u8", "<i8", "<u4", "u1")  # anchor, document, first start, strings
+WANT = ("<u8", "<i8", "<u4", "u1", "u1")  # anchor, document, first start, strings, whether the anchor is common
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -153,6 +160,14 @@ def _first_of_class(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, lo
     return order, new, order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
 
 
+def _again(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(document, first and last start) of contexts that stand earlier too, and the numbers of the others, sorted by class."""
+    order, new, first = _first_of_class(anchor, context, doc, lo)
+    again = order[~new]
+    again = again[(doc[again] != doc[first[~new]]) | (lo[again] != lo[first[~new]])]
+    return (doc[again], lo[again], lo[again].astype(np.int64) + n[again] - 1), order[new]
+
+
 def find_repeats_in_shard(contexts: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int]]:
     """(number of the context, string start in it) of all strings that a context before has, or the same further left.
 
@@ -180,12 +195,44 @@ def find_repeats_in_shard(contexts: list[tuple[int, int, bytes]], length: int) -
     return list(zip(own[again].tolist(), (at - begin[own])[again].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, shard_bytes: int, keep: tuple[str, ...] = (), buffer_bytes: int = 2 << 20) -> DataFrame:
+def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def common_anchors(rows: DataFrame, length: int, gram: int, sample_rows: int, least: int) -> np.ndarray:
+    """Anchors with at least ``least`` different contexts in a sample of documents; this only steers where rows go."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                if not texts:
+                    continue
+                ends = np.cumsum([len(t) for t in texts])
+                starts = np.concatenate(([0], ends[:-1]))
+                anchor, context, _, _ = contexts(np.frombuffer(b"".join(texts), np.uint8), starts, ends, length, gram)
+                pairs = np.unique(np.stack((anchor, context), 1), axis=0)
+                found, n = np.unique(pairs[:, 0], return_counts=True)
+                several = n > 1  # an anchor that is common in the sample is so in some of its batches
+                yield pa.RecordBatch.from_arrays([pa.array(found[several].astype(np.int64), pa.int64()), pa.array(n[several], pa.int64())], ["anchor", "n"])
+
+    sample = bounded_sample(rows.select("doc_id", "text"), sample_rows)
+    counted = sample.mapInArrow(scan, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([r.anchor for r in counted.select("anchor").collect()], np.int64).astype(np.uint64))
+
+
+def repeated_spans(
+    docs: DataFrame, length: int, gram: int, shard_bytes: int, keep: tuple[str, ...] = (), buffer_bytes: int = 2 << 20, sample_rows: int = 8192, most_contexts: int = 2000
+) -> DataFrame:
     """Rows of packed repeats and, after them in each slot, of packed texts with their ``keep`` columns, dealt by document."""
     parts = shuffle_width(docs, 2)
     slots = 4 * parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).filter("doc_id is not null")
 
+    common = docs.sparkSession.sparkContext.broadcast(common_anchors(rows, length, gram, sample_rows, 16))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -209,13 +256,11 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, shard_bytes: int, ke
                 if not found:
                     continue
                 anchor, context, doc, lo, n = (np.concatenate(c) for c in zip(*found, strict=True))
-                order, new, first = _first_of_class(anchor, context, doc, lo)
-                again = order[~new]
-                again = again[(doc[again] != doc[first[~new]]) | (lo[again] != lo[first[~new]])]
-                one = np.sort(order[new])
-                out = _dealt(CONTEXT, (anchor[one] % np.uint64(slots)).astype(np.int64), [anchor[one], context[one], doc[one], lo[one], n[one]])
-                out += _repeats(doc[again], lo[again], lo[again].astype(np.int64) + n[again] - 1, slots)
-                yield _batch(out)
+                again, one = _again(anchor, context, doc, lo, n)
+                one = np.sort(one)
+                by = np.where(_in_sorted(anchor[one], common.value), context[one], anchor[one])
+                out = _dealt(CONTEXT, (by % np.uint64(slots)).astype(np.int64), [anchor[one], context[one], doc[one], lo[one], n[one]])
+                yield _batch(out + _repeats(*again, slots))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[bytes] = []
@@ -229,17 +274,18 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, shard_bytes: int, ke
             yield _batch(through)
         anchor, context, doc, lo, n = gathered(blocks, *FOUND)
         blocks.clear()
-        order, new, first = _first_of_class(anchor, context, doc, lo)
-        again = order[~new]
-        again = again[(doc[again] != doc[first[~new]]) | (lo[again] != lo[first[~new]])]
-        out = _repeats(doc[again], lo[again], lo[again].astype(np.int64) + n[again] - 1, slots)
-        one = order[new]
+        again, one = _again(anchor, context, doc, lo, n)
+        out = _repeats(*again, slots)
         same = anchor[one][1:] == anchor[one][:-1]
         several = np.zeros(len(one), bool)
         several[1:] |= same
         several[:-1] |= same
-        ask = one[several]
-        yield _batch(out + _dealt(ASKED, np.mod(doc[ask], slots), [anchor[ask], doc[ask], lo[ask], n[ask]]))
+        steered = _in_sorted(anchor[one], common.value)
+        group = np.cumsum(np.concatenate(([0], ~same)))[: len(one)]
+        wide = steered | (np.bincount(group)[group] > most_contexts if len(one) else several)
+        several |= steered
+        ask, wide = one[several], wide[several].astype(np.uint8)
+        yield _batch(out + _dealt(ASKED, np.mod(doc[ask], slots), [anchor[ask], doc[ask], lo[ask], n[ask], wide]))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -251,9 +297,9 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, shard_bytes: int, ke
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for _, wanted, texts in by_slot(batches):
-            anchor, doc, lo, n = gathered(wanted, *WANT)
+            anchor, doc, lo, n, wide = gathered(wanted, *WANT)
             order = np.lexsort((lo, doc))
-            anchor, doc, lo, n = anchor[order], doc[order], lo[order], n[order]
+            anchor, doc, lo, n, wide = anchor[order], doc[order], lo[order], n[order], wide[order]
             taken: list[bytes] = []
             rows: list[int] = []
             for i, _, body in texts:
@@ -263,17 +309,29 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, shard_bytes: int, ke
                     rows.extend(range(a, b))
                     taken.extend(text[s : s + k + length - 1] for s, k in zip(lo[a:b].tolist(), n[a:b].tolist(), strict=True))
                 if len(rows) > 40_000:
-                    yield _batch(_cuts(anchor, doc, lo, n, rows, taken, slots))
+                    yield _batch(_cuts(anchor, doc, lo, n, wide, rows, taken, slots, length, gram))
                     rows, taken = [], []
             if rows:
-                yield _batch(_cuts(anchor, doc, lo, n, rows, taken, slots))
+                yield _batch(_cuts(anchor, doc, lo, n, wide, rows, taken, slots, length, gram))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, bodies = [], []
+        blocks, bodies, strings = [], [], []
         for batch in batches:
-            blocks += batch.column("data").to_pylist()
-            bodies += batch.column("body").to_pylist()
-        anchor, doc, lo, n = gathered(blocks, *WANT)
+            through = []
+            for kind, slot, data, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "slot", "data", "body")), strict=True):
+                if kind == CUT:
+                    blocks.append(data)
+                    bodies.append(body)
+                elif kind == CONTEXT:
+                    strings.append(data)
+                else:
+                    through.append((kind, slot, None, data, None))
+            yield _batch(through)
+        if strings:
+            again, _ = _again(*gathered(strings, *FOUND))
+            yield _batch(_repeats(*again, slots))
+            del strings, again
+        anchor, doc, lo, n, _ = gathered(blocks, *WANT)
         body = b"".join(bodies)
         del blocks, bodies
         size = n.astype(np.int64) + length - 1
@@ -304,16 +362,30 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, shard_bytes: int, ke
     return both.unionByName(texts).repartition(parts, "slot").sortWithinPartitions("slot", "kind")
 
 
-def _cuts(anchor, doc, lo, n, rows: list[int], taken: list[bytes], slots: int) -> list[tuple]:
-    """Rows of cut contexts by the slot of their anchor."""
-    rows_at = np.array(rows)
-    target = (anchor[rows_at] % np.uint64(slots)).astype(np.int64)
+def _cuts(anchor, doc, lo, n, wide, rows: list[int], taken: list[bytes], slots: int, length: int, gram: int) -> list[tuple]:
+    """Rows of cut contexts by the slot of their anchor; those of common anchors as strings by the slot of their hash."""
+    out = []
+    at = np.array(rows)
+    if wide[at].any():
+        which = np.flatnonzero(wide[at])
+        n_of = n[at[which]].astype(np.int64)
+        begin = np.concatenate(([0], np.cumsum(n_of + length - 1)))[:-1]
+        inner = np.arange(int(n_of.sum())) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+        start, more = np.repeat(begin, n_of) + inner, np.zeros(len(inner), np.int64)
+        with np.errstate(over="ignore"):
+            h = gram_hashes(np.frombuffer(b"".join(taken[i] for i in which.tolist()), np.uint8), gram)
+            one, two = _covering(h, start, more, length, gram, 1), _covering(h, start, more, length, gram, 2)
+        found = (one, two, np.repeat(doc[at[which]], n_of), (np.repeat(lo[at[which]], n_of) + inner).astype(np.uint32), np.ones(len(inner), np.uint8))
+        again, first = _again(*found)
+        out += _repeats(*again, slots) + _dealt(CONTEXT, (one[first] % np.uint64(slots)).astype(np.int64), [c[first] for c in found])
+        which = np.flatnonzero(wide[at] == 0)
+        at, taken = at[which], [taken[i] for i in which.tolist()]
+    target = (anchor[at] % np.uint64(slots)).astype(np.int64)
     order = np.argsort(target, kind="stable")
     cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
-    out = []
-    for part in np.split(order, cuts[1:]):
-        r = rows_at[part]
-        out.append((CUT, int(target[part[0]]), None, pack(anchor[r], doc[r], lo[r], n[r]), b"".join(taken[i] for i in part.tolist())))
+    for part in np.split(order, cuts[1:]) if len(order) else ():
+        r = at[part]
+        out.append((CUT, int(target[part[0]]), None, pack(anchor[r], doc[r], lo[r], n[r], wide[r]), b"".join(taken[i] for i in part.tolist())))
     return out
 
 
@@ -339,11 +411,11 @@ def by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
             pass
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = (), most_contexts: int = 2000) -> DataFrame:
     """doc_id, the ``keep`` columns, n_bytes, n_removed, n_spans and the kept bytes of every document."""
     if gram & (gram - 1) or length < 2 * gram or length - gram + 1 > 255:
         raise ValueError("gram must be a power of two, at most half of length; contexts have at most 255 strings")
-    meet = repeated_spans(docs, length, gram, shard_bytes, keep)
+    meet = repeated_spans(docs, length, gram, shard_bytes, keep, most_contexts=most_contexts)
     kinds = [f.type for f in to_arrow_schema(docs.select(*keep).schema)]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
