@@ -145,7 +145,7 @@ def validate_submission(spark: SparkSession, matching: str, candidate: str | Non
             continue
         try:
             first, lines = read_lines(spark, path)
-            if not lines.filter(~F.expr("is_valid_utf8(value)")).isEmpty():
+            if not spark.read.text(path).filter("not is_valid_utf8(value)").isEmpty():
                 errors.append(f"{path} is not UTF-8")
                 continue
         except Exception as e:  # an unreadable file fails the check, not the run
