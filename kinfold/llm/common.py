@@ -89,3 +89,13 @@ def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     if n <= rows:
         return df
     return df.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """The documents with all columns but those that operators read under names that clash with no result's."""
+    return docs.select(*(F.col(c) if c in ("doc_id", "text", "n_chars") else F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)))
+
+
+def unshielded(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of the documents, with their names, from a frame over shielded ones."""
+    return out.select(*(F.col(c if c in ("doc_id", "text", "n_chars") else f"_own{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(docs.columns)))

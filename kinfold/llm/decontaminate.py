@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, binary_column, rows_of
+from .common import ascii_words, binary_column, rows_of, shielded, unshielded
 
 SCHEMA = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -135,5 +135,6 @@ def find_contamination(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without those that hold any window of a benchmark item; all columns stay as they are."""
-    scanned = find_contamination(docs, benchmark, window, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scanned.filter("n_hit = 0").select(docs.columns)
+    rows = shielded(docs)
+    scanned = find_contamination(rows, benchmark, window, keep=tuple(c for c in rows.columns if c != "doc_id"))
+    return unshielded(scanned.filter("n_hit = 0"), docs)

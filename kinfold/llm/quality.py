@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, bounded_sample, rows_of
+from .common import binary_column, bounded_sample, rows_of, shielded, unshielded
 
 _SLOTS: dict[bytes, int] = {}
 _KINDS = bytes(
@@ -164,5 +164,6 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, keep: tup
 
 def keep_good(docs: DataFrame, model: FactorisationMachine | None, least: float = 0.7) -> DataFrame:
     """The documents that the classifier accepts; all columns stay as they are."""
-    scored = score_quality(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.filter(F.col("score") >= least).select(docs.columns)
+    rows = shielded(docs)
+    scored = score_quality(rows, model, keep=tuple(c for c in rows.columns if c != "doc_id"))
+    return unshielded(scored.filter(F.col("score") >= least), docs)

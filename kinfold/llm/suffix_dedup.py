@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_sample, materialise, shuffle_width
+from .common import bounded_sample, materialise, shielded, shuffle_width, unshielded
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -454,14 +454,15 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
 
     A document that had text and keeps none goes. Of a character that a cut divides, the rest is dropped too.
     """
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = remove_repeats(docs, keep=keep, **options).filter("n_removed = 0 or n_removed < n_bytes")
+    rows = shielded(docs)
+    keep = tuple(c for c in rows.columns if c not in ("doc_id", "text"))
+    out = remove_repeats(rows, keep=keep, **options).filter("n_removed = 0 or n_removed < n_bytes")
     text = F.when(F.col("n_removed") > 0, whole_characters("kept")).otherwise(F.col("kept").cast("string"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return unshielded(out, docs)
 
 
 def whole_characters(column: str) -> F.Column:

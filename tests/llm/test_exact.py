@@ -53,7 +53,7 @@ def test_op1(spark, sf_dir):
 def test_decontamination_cases_and_offsets(spark):
     item = "one two three four five six seven eight nine ten eleven"
     rows = [(1, f"Ä! {item.upper().replace(' ', ' -- ')} end"), (2, None), (3, ""), (4, "tiny ITEM"), (4, "tiny ITEM"), (None, "a tiny item"), (5, "one two three")]
-    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).withColumnRenamed("lang", "item_id")
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).withColumnRenamed("lang", "item_id").withColumnRenamed("source", "n_hit")
     items = [(7, item), (7, item), (8, "Tiny item"), (None, "one two three four five six seven eight nine ten"), (9, None), (10, "?!")]
     bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
     for most in (1 << 20, 20):
@@ -114,7 +114,7 @@ def test_suffix_dedup_cases(spark):
     out = sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect())
     assert out == [(0, 0, 0), (1, 149, 1), (1, 149, 1), (2, 100, 1)]
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
-    wide = spark.createDataFrame([(i, "é" * 60 + str(i) + "tail", "en", f"s{i}", 99) for i in range(3)] + [(9, "é" * 60, "en", None, None)], DOCS)
+    wide = spark.createDataFrame([(i, "é" * 60 + str(i) + "tail", "en", f"s{i}", 99) for i in range(3)] + [(9, "é" * 60, "en", None, None)], DOCS).withColumnRenamed("lang", "kept")
     cut = {r.doc_id: r for r in suffix_dedup.cut_repeats(wide).collect()}
     assert set(cut) == {0, 1, 2} and cut[1].text == "1tail" and cut[1].n_chars == 5 and cut[0].text == "é0tail" and cut[2].source == "s2"
 

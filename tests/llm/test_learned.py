@@ -191,7 +191,7 @@ def test_quote_links(spark):
     key = lambda r: str(r)
     got = sorted((tuple(r) for r in quotes.link_quotes(df).collect()), key=key)
     assert got == sorted(brute_quotes(rows), key=key)
-    assert max(r[-1] for r in got) == 39 and {r[1]: r[7] for r in got if r[0] == 1} == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 0}
+    assert max(r[-1] for r in got) == 39 and {r[1]: r[7] for r in got if r[0] == 1} == {0: None, 1: 0, 2: 1, 3: 2, 4: 2, 5: 0}
     twice = quotes.link_quotes(df.unionByName(df))
     assert sorted((tuple(r) for r in twice.distinct().collect()), key=key) == sorted(set(got), key=key) and twice.count() == 2 * len(rows)
     assert quotes.link_quotes(df.limit(0)).count() == 0
