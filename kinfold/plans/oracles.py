@@ -94,6 +94,8 @@ FAMILIES = {
     "addr_tokens": (tokens(_A, ADDRESS_STOP_WORDS), 10_000, True),
     "skeleton": (key(_C, skeleton(_N)), 500, False),
 }
+#: Families whose bound does not follow the candidate cap.
+FIXED = ("country_word1", "country_word2", "addr4_name3", "country_phon", "addr_tokens")
 VALID = "k not in ('', 'nan') and len(list_filter(string_split(k, '|'), lambda p: trim(p) in ('', 'nan'))) = 0"
 
 
@@ -105,7 +107,7 @@ def hits(families: list[str], cap: int = 10_000, base: str = NORM, order: str =
         expr, bound, multi = FAMILIES[f]
         rows = f"select entity_id, '{f}' as f, trim({f'unnest({expr})' if multi else expr}) as k from {src}"
         keys.append(f"select * from ({rows})" + ("" if multi else f" where {VALID}"))
-        cut.append(f"when '{f}' then {min(bound, cap) if f not in ('country_word1', 'country_word2', 'addr4_name3', 'country_phon') else min(bound, 500)}")
+        cut.append(f"when '{f}' then {bound if f in FIXED else min(bound, cap)}")
     return f"""with {base},
 keys as ({" union all ".join(keys)}),
 posted as (
