@@ -7,11 +7,13 @@ for each shingle, and both its minimum and its maximum enter the signature; the
 
 1. Documents with equal sets form one class; its smallest doc_id stands for it. Only representatives have keys.
 2. Representatives that share a key are candidates. First each is compared with the smallest one under its key; the
-   confirmed links give components. Then, under each key that still joins several components, pairs across components
-   are compared in waves, a bounded number for each pair of components in a wave, until every pair that could link has
-   been compared or has come to lie in one component. A pair is skipped only when its sizes, or its distances to a
-   common hub (Jaccard distance is a metric), prove that it cannot link.
-3. Components come from alternating large-star and small-star steps on tables in the shared folder.
+   confirmed links give components.
+3. Where the members under a hub fall into several components, pairs across components remain. A member x that is not
+   linked with its hub can link with y only if they share a shingle that the hub lacks, or if y is so small that what x
+   shares with the hub could suffice: with i = |x and hub|, |y| <= i (1 + t) / t - |x|. Pairs that meet one of the two are
+   compared in waves, a bounded number for each pair of components in a wave, until every such pair has been compared or
+   has come to lie in one component.
+4. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 So no pair is dropped and no group is gathered: hubs are minima of partial aggregates, and hot keys are split by the
 skewed-join rule.
@@ -24,6 +26,7 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,38 +57,47 @@ def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def signature_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key for each band of the min-max signature."""
-    functions = -(-bands * rows // 2)
+@lru_cache
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and summands of the hash functions."""
     rng = np.random.default_rng(1009)
-    mul = rng.integers(1, 1 << 63, functions, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, functions, np.uint64)
-    low, high = np.full(functions, np.iinfo(np.uint64).max, np.uint64), np.zeros(functions, np.uint64)
+    return rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+
+
+def signature_keys(hashes: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """For each non-empty set one 64-bit key for each band of its min-max signature."""
+    mul, add = _functions(-(-bands * rows // 2))
+    flat = np.concatenate(hashes)
+    starts = np.cumsum([0] + [len(h) for h in hashes])[:-1]
+    values = np.empty((2 * len(mul), len(hashes)), np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 512):
-            block = hashes[at : at + 512][None, :] * mul[:, None] + add[:, None]
-            low, high = np.minimum(low, block.min(1)), np.maximum(high, block.max(1))
-        values = np.stack((low, high), 1).reshape(-1)[: bands * rows].reshape(bands, rows)
-        key = np.arange(bands, dtype=np.uint64) * _MIX[2]
+        for k in range(len(mul)):
+            image = flat * mul[k] + add[k]
+            values[2 * k] = np.minimum.reduceat(image, starts)
+            values[2 * k + 1] = np.maximum.reduceat(image, starts)
+        values = values[: bands * rows].reshape(bands, rows, len(hashes))
+        key = np.repeat((np.arange(bands, dtype=np.uint64) * _MIX[2])[:, None], len(hashes), 1)
         for k in range(rows):
             key = (key ^ values[:, k]) * _MIX[0]
             key ^= key >> np.uint64(31)
-    return key
+    return key.T
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_hash (16 bytes, null for the empty set), keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 2000):
-            sizes, prints, keys = [], [], []
-            for text in binary_column(batch, "text"):
-                hashes = shingle_hashes(text, width)
-                sizes.append(len(hashes))
-                prints.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-                keys.append(signature_keys(hashes, bands, rows).astype(np.int64).tolist() if len(hashes) else [])
+        for batch in rows_of(batches, 200):
+            sets = [shingle_hashes(text, width) for text in binary_column(batch, "text")]
+            full = [h for h in sets if len(h)]
+            keys = iter(signature_keys(full, bands, rows).astype(np.int64)) if full else iter(())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(h) for h in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary()),
+                    pa.array([next(keys) if len(h) else [] for h in sets], pa.list_(pa.int64())),
+                ],
                 ["doc_id", "n_shingles", "set_hash", "keys"],
             )
 
@@ -106,7 +118,8 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, parts: int, group: int = 256) -> DataFrame:
-    """The pairs (a, b) with the sizes of intersection and union of their sets, and linked.
+    """The pairs (a, b) with shared and joined (sizes of intersection and union of their sets), only_a (shingles of a that
+    b lacks), extra (those of b that a lacks) and linked.
 
     Pairs are grouped by a in lots of at most about ``group``, so that the text of a travels once for each lot, and each
     pair's b once.
@@ -118,36 +131,45 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, parts:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, of, hub = zstandard.ZstdDecompressor(), None, np.zeros(0, np.uint64)
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for a, lot, b, packed in zip(*(batch.column(c).to_pylist() for c in ("a", "lot", "b", "packed")), strict=True):
-                hashes = shingle_hashes(unpack.decompress(packed), width)
-                if b is None:
-                    of, hub = (a, lot), hashes
-                    continue
-                assert of == (a, lot), "a lot starts with its hub"
-                shared = len(np.intersect1d(hub, hashes, assume_unique=True))
-                out.append((a, b, shared, len(hub) + len(hashes) - shared))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["a", "b", "shared", "joined"])
-
-    return rows.mapInArrow(check, "a long, b long, shared long, joined long").withColumn("linked", F.col("shared") * 100 >= F.col("joined") * percent)
+        for whole in batches:
+            for batch in rows_of(iter([whole]), 1000):
+                out: list[tuple] = []
+                for a, lot, b, packed in zip(*(batch.column(c).to_pylist() for c in ("a", "lot", "b", "packed")), strict=True):
+                    hashes = shingle_hashes(unpack.decompress(packed), width)
+                    if b is None:
+                        of, hub = (a, lot), hashes
+                        continue
+                    assert of == (a, lot), "a lot starts with its hub"
+                    extra = np.setdiff1d(hashes, hub, assume_unique=True)
+                    shared = len(hashes) - len(extra)
+                    out.append((a, b, shared, len(hub) + len(extra), len(hub) - shared, extra.astype(np.int64)))
+                columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(5)] + [pa.array([x[5] for x in out], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shared", "joined", "only_a", "extra"])
+
+    schema = "a long, b long, shared long, joined long, only_a long, extra array<long>"
+    return rows.mapInArrow(check, schema).withColumn("linked", F.col("shared") * 100 >= F.col("joined") * percent)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger node u has one edge (u, v) and no node is both u and v."""
+    roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    return roles.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 or (c > 0 and p > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, c) for every node of the edges (a, b): c is the smallest node that it can reach."""
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        after = materialise(small, "edges")
-        same = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for d in (now, after)]
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        after = materialise(small.filter("u > v").distinct(), "edges")
         discard(now)
         now = after
-        if same[0] == same[1]:
-            break
     return now.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(now.select("v", F.col("v").alias("c")).distinct())
 
 
@@ -156,53 +178,54 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     parts = shuffle_width(docs)
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
     known = signed.filter("set_hash is not null and doc_id is not null")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("keys").alias("keys"))
-    keyed = classes.select("rep", "size", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
-    members = materialise(keyed.join(hubs.select("key", "hub"), "key"), "members")
+    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"))
+    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
+    members = materialise(keyed.join(hubs.select("key", "hub"), "key").select("hub", "rep").distinct(), "members")
     texts = materialise(
         packed_texts(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("packed").alias("packed")), "texts"
     )
 
-    first = members.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "size").groupBy("a", "b").agg(F.max("size").alias("size"))
-    n_a = first.groupBy("a").agg(F.count("*").alias("n_a"))
-    checked = materialise(confirm(first.join(n_a, "a"), texts, width, percent, parts), "checked")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        n_a = pairs.groupBy("a").agg(F.count("*").alias("n_a"))
+        return materialise(confirm(pairs.join(n_a, "a"), texts, width, percent, parts), "checked")
+
+    near = confirmed(members.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    checked = near.select("a", "b", "linked")
+    comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(comp, F.col("rep") == F.col("v"), "left").select(*df.columns, F.coalesce("c", "rep").alias("c"))
+
+    at = placed(members)
+    split = at.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
+    around = near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared", (F.col("joined") - F.col("only_a")).alias("size"), "linked", "extra")
+    around = materialise(around.join(split, "hub", "left_semi"), "around")
+    group, sized = ["hub", "shingle"], around.select("hub", "rep", "shared", "size", "linked")
+    own = materialise(around.select("hub", "rep", "size", F.explode("extra").alias("shingle")), "extra")
+    fits = f"x.size * 100 >= y.size * {percent} and y.size * 100 >= x.size * {percent}"
+    pair = [F.expr(f"{f}(x.{c}, y.{c})").alias(n) for f, c, n in (("least", "rep", "a"), ("greatest", "rep", "b"), ("least", "c", "c1"), ("greatest", "c", "c2"))]
     while True:
-        comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
-        c = F.coalesce("c", "rep").alias("c")
-        placed = members.join(comp, F.col("rep") == F.col("v"), "left").select("key", "hub", "rep", "size", c)
-        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-        open_keys = materialise(placed.join(split, "key"), "open")
-        if open_keys.isEmpty():
-            break
-        # Distance to the hub of the key, where it has been measured; 0 for the hub itself.
-        far = checked.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joined")).alias("d"))
-        left = open_keys.join(far, ["hub", "rep"], "left").withColumn("d", F.when(F.col("hub") == F.col("rep"), F.lit(0.0)).otherwise(F.col("d")))
-        x, y = left.alias("x"), left.alias("y")
-        slack = 1 - percent / 100 + 1e-9
-        pairs = (
-            x.join(y, F.expr(f"x.key = y.key and x.rep < y.rep and x.c <> y.c and x.size * 100 >= y.size * {percent} and y.size * 100 >= x.size * {percent}"))
-            .filter(F.expr(f"x.d is null or y.d is null or abs(x.d - y.d) <= {slack}"))
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.c", "y.c").alias("c1"), F.greatest("x.c", "y.c").alias("c2"))
-            .distinct()
-            .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        some = pairs.withColumn("k", F.row_number().over(Window.partitionBy("c1", "c2").orderBy(F.xxhash64("a", "b"), "a", "b"))).filter(F.col("k") <= wave).select("a", "b")
-        more = materialise(some, "wave")
-        done = more.isEmpty()
-        if not done:
-            n_a = more.groupBy("a").agg(F.count("*").alias("n_a"))
-            fresh = materialise(confirm(more.join(n_a, "a"), texts, width, percent, parts), "checked")
-            both = materialise(checked.unionByName(fresh), "checked")
-            for old in (checked, fresh):
-                discard(old)
-            checked = both
-        for old in (more, open_keys):
-            discard(old)
-        if done:
+        # Pairs with a common shingle that their hub lacks; never two of the main component of the shingle.
+        at = placed(own)
+        sizes = at.groupBy(*group, "c").agg(F.count("*").alias("n")).groupBy(*group).agg(F.count("*").alias("k"), F.max_by("c", "n").alias("main"))
+        x = at.join(sizes.filter("k > 1").select(*group, "main"), group).filter("c <> main").alias("x")
+        pairs = x.join(at.alias("y"), F.expr(f"x.hub = y.hub and x.shingle = y.shingle and x.c <> y.c and {fits}")).select(*pair)
+        # Pairs without one, of which x is far from the hub: y must be small enough.
+        at = placed(sized)
+        room = f"y.size * {percent} <= x.shared * {100 + percent} - x.size * {percent}"
+        x, y = at.filter("not linked").alias("x"), at.select("hub", "size").distinct().alias("y")
+        reach = x.join(y, F.expr(f"x.hub = y.hub and {fits} and {room}")).select("x.*", F.col("y.size").alias("other")).alias("x")
+        also = f"(y.linked or x.size * {percent} <= y.shared * {100 + percent} - y.size * {percent})"
+        small = reach.join(at.alias("y"), F.expr(f"x.hub = y.hub and x.other = y.size and x.c <> y.c and {also}")).select(*pair)
+        pairs = pairs.unionByName(small).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        number = F.row_number().over(Window.partitionBy("c1", "c2").orderBy(F.xxhash64("a", "b"), "a", "b"))
+        some = materialise(pairs.withColumn("k", number).filter(F.col("k") <= wave).select("a", "b"), "wave")
+        if some.isEmpty():
             break
+        checked, wave = materialise(checked.unionByName(confirmed(some).select("a", "b", "linked")), "checked"), wave * 4
         discard(comp)
-        wave *= 4
+        comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
     reps = classes.select("set_hash", "rep").join(comp, F.col("rep") == F.col("v"), "left").select("set_hash", F.coalesce("c", "rep").alias("c"))
     out = signed.drop("keys").join(reps, "set_hash", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "doc_id"))
