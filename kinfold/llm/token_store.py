@@ -19,6 +19,7 @@ distinct id has length 1.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -39,35 +40,67 @@ def _class(kinds: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(_SAFE_TOP) if unicodedata.category(chr(c))[0] in kinds)
 
 
+#: The split of a tokenizer whose pieces can be kept one by one.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordTokenizer:
-    """The library's ids for whole texts, with the ids of each distinct piece kept."""
+    """The library's ids for whole texts, with the ids of each distinct piece kept.
+
+    That holds for tokenizers that lower-case, split by PATTERN and mark the ends of words; of any other one, all texts go
+    to the library as a whole.
+    """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
+        layout = json.loads(self.library.to_str())
+        steps = (layout["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        folds = [x["type"] for x in (layout["normalizer"] or {}).get("normalizers", [])]
+        self.keeps = (
+            [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"], steps[1]) == ({"Regex": PATTERN}, "Removed", True, plain)
+            and folds == ["NFC", "Replace", "Lowercase"]
+            and layout["model"]["end_of_word_suffix"] == "</w>"
+        )
+        # Pieces go to the model many at a time, between blanks; each ends with the one id that marks a word's end.
+        layout["normalizer"] = None
+        layout["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain]}
+        self.model = Tokenizer.from_str(json.dumps(layout))
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         letters, numbers = _class("L"), _class("N")
         self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
         safe = "".join(re.escape(chr(c)) for c in (9, 10, 13, *range(32, 127), *range(0xA1, _SAFE_TOP)) if c not in (0xAD, 0x130))
         self.unsafe = re.compile(f"[^{safe}]").search
         self.known: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 200):
+            part = fresh[at : at + 200]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts, raw = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes()
+            each = [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+            if len(each) != len(part):
+                each = [self._whole(p) for p in part]
+            self.known.update(zip(part, each, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
+        if not self.keeps:
+            return [self._whole(t) for t in texts]
         split = [None if "<|" in t or self.unsafe(t) else self.pieces(t.lower()) for t in texts]
-        fresh = list({p for pieces in split if pieces for p in pieces if p not in known})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for piece, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
-        get = known.__getitem__
-        out = [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if pieces is None else b"".join(map(get, pieces))
-            for t, pieces in zip(texts, split, strict=True)
-        ]
-        if len(known) > self.most:
-            known.clear()
+        self._learn(list(set().union(*filter(None, split)) - self.known.keys()))
+        get = self.known.__getitem__
+        out = [self._whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        if len(self.known) > self.most:
+            self.known.clear()
         return out
 
 
@@ -156,7 +189,7 @@ def decode_block(stream: bytes, offsets: bytes, n: int, table: tuple[np.ndarray,
     return out.T.reshape(-1)[:n]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, group_bytes: int = 2 << 20) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, group_bytes: int = 1 << 20) -> DataFrame:
     """(part, base, doc_ids, sizes, ids): groups of consecutive documents, parts being ascending ranges of doc_id.
 
     base is the number of ids before the group within its part.
