@@ -8,11 +8,11 @@ for each shingle, and both its minimum and its maximum enter the signature; the
 1. Documents with equal sets form one class; its smallest doc_id stands for it. Only representatives have keys.
 2. Representatives that share a key are candidates. First each is compared with the smallest one under its key; the
    confirmed links give components.
-3. Where the members under a hub fall into several components, pairs across components remain. A member x that is not
-   linked with its hub can link with y only if they share a shingle that the hub lacks, or if y is so small that what x
-   shares with the hub could suffice: with i = |x and hub|, |y| <= i (1 + t) / t - |x|. Pairs that meet one of the two are
-   compared in waves, a bounded number for each pair of components in a wave, until every such pair has been compared or
-   has come to lie in one component.
+3. Where the members under a hub fall into several components, all are compared with the group's medoid, and pairs across
+   components remain. Let h be the medoid. A pair x, y whose common shingles are all in h has at most i = |x and h| of
+   them, so it can link only if |y| <= i (1 + t) / t - |x|; any other pair must meet in the rarest of the shingles that h
+   lacks. Pairs that pass one of the two tests are compared in waves, a bounded number for each pair of components in a
+   wave, until every such pair has been compared or has come to lie in one component.
 4. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 So no pair is dropped and no group is gathered: hubs are minima of partial aggregates, and hot keys are split by the
@@ -173,7 +173,39 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(now.select("v", F.col("v").alias("c")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 22, rows: int = 3, wave: int = 64) -> DataFrame:
+def medoids(around: DataFrame) -> DataFrame:
+    """(hub, medoid): of each hub and its members the one nearest to their consensus.
+
+    The consensus is the hub's set with the shingles that it lacks and a quarter of the members have. Any choice is right;
+    a good one leaves few pairs to compare.
+    """
+    sizes = around.groupBy("hub").agg(F.count("*").alias("g"), F.max(F.col("shared") + F.col("only_a")).alias("own"))
+    extra = around.select("hub", "b", F.explode("extra").alias("shingle"))
+    common = extra.groupBy("hub", "shingle").agg(F.count("*").alias("n")).join(sizes, "hub").filter("n >= 2 and n * 4 >= g").select("hub", "shingle")
+    gained = extra.join(common, ["hub", "shingle"]).groupBy("hub", "b").agg(F.count("*").alias("more"))
+    score = around.select("hub", "b", "shared", (F.col("joined") - F.col("only_a")).alias("size")).join(gained, ["hub", "b"], "left")
+    score = score.select("hub", F.col("b").alias("rep"), (2 * (F.col("shared") + F.coalesce("more", F.lit(0))) - F.col("size")).alias("near"))
+    score = score.unionByName(sizes.select("hub", F.col("hub").alias("rep"), F.col("own").alias("near")))
+    return score.groupBy("hub").agg(F.max_by("rep", F.struct("near", -F.col("rep"))).alias("medoid"))
+
+
+def prefixes(around: DataFrame, percent: int) -> DataFrame:
+    """(hub, rep, size, shingle): of the shingles that the hub lacks those in which a linked pair must meet.
+
+    A member x that shares i shingles with the hub and links with a y of the group shares at least k others with it, k =
+    max(1, t / (1 + t) * (|x| + least |y|) - i) unless their common shingles are all the hub's. Taken from the rarest on, the
+    first n - k + 1 of x's n others hold one that y's have too; one that x has alone cannot be it.
+    """
+    low = F.greatest(F.col("least_size"), F.ceil(F.col("size") * percent / 100))
+    need = F.ceil((F.col("size") + low) * percent / (100 + percent)) - F.col("shared")
+    rows = around.withColumn("most", F.size("extra") - F.greatest(F.lit(1), need) + 1).filter("most > 0")
+    rows = rows.select("hub", "rep", "size", "most", F.explode("extra").alias("shingle"))
+    counted = rows.join(rows.groupBy("hub", "shingle").agg(F.count("*").alias("n")), ["hub", "shingle"])
+    rank = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("n", "shingle"))
+    return counted.withColumn("k", rank).filter("k <= most and n > 1").select("hub", "rep", "size", "shingle")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 22, rows: int = 3, wave: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     parts = shuffle_width(docs)
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
@@ -197,12 +229,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     def placed(df: DataFrame) -> DataFrame:
         return df.join(comp, F.col("rep") == F.col("v"), "left").select(*df.columns, F.coalesce("c", "rep").alias("c"))
 
+    # Groups that still have several components go on with their medoid in place of the smallest id.
     at = placed(members)
     split = at.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
-    around = near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared", (F.col("joined") - F.col("only_a")).alias("size"), "linked", "extra")
-    around = materialise(around.join(split, "hub", "left_semi"), "around")
+    around = materialise(near.withColumnRenamed("a", "hub").join(split, "hub", "left_semi"), "around")
+    middle = materialise(medoids(around), "medoids")
+    pairs = around.select("hub", F.col("b").alias("rep")).unionByName(middle.select("hub", F.col("hub").alias("rep"))).join(middle, "hub")
+    pairs = pairs.filter("rep <> medoid").select(F.col("medoid").alias("a"), F.col("rep").alias("b")).distinct()
+    around = confirmed(pairs)
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"]
+    checked = materialise(checked.unionByName(around.select(*ordered)).distinct(), "checked")
+    discard(comp)
+    comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
+    around = around.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared", (F.col("joined") - F.col("only_a")).alias("size"), "linked", "extra")
+    around = around.join(around.groupBy("hub").agg(F.min("size").alias("least_size")), "hub")
     group, sized = ["hub", "shingle"], around.select("hub", "rep", "shared", "size", "linked")
-    own = materialise(around.select("hub", "rep", "size", F.explode("extra").alias("shingle")), "extra")
+    own = materialise(prefixes(around, percent), "extra")
     fits = f"x.size * 100 >= y.size * {percent} and y.size * 100 >= x.size * {percent}"
     pair = [F.expr(f"{f}(x.{c}, y.{c})").alias(n) for f, c, n in (("least", "rep", "a"), ("greatest", "rep", "b"), ("least", "c", "c1"), ("greatest", "c", "c2"))]
     while True:
@@ -220,12 +262,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         small = reach.join(at.alias("y"), F.expr(f"x.hub = y.hub and x.other = y.size and x.c <> y.c and {also}")).select(*pair)
         pairs = pairs.unionByName(small).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         number = F.row_number().over(Window.partitionBy("c1", "c2").orderBy(F.xxhash64("a", "b"), "a", "b"))
-        some = materialise(pairs.withColumn("k", number).filter(F.col("k") <= wave).select("a", "b"), "wave")
+        some = materialise(pairs.withColumn("k", number).filter(F.col("k") <= wave).select("a", "b", "k"), "wave")
         if some.isEmpty():
             break
-        checked, wave = materialise(checked.unionByName(confirmed(some).select("a", "b", "linked")), "checked"), wave * 4
+        whole = some.filter(F.col("k") == wave).isEmpty()  # then no pair has been left for another wave
+        checked, wave = materialise(checked.unionByName(confirmed(some.select("a", "b")).select("a", "b", "linked")), "checked"), wave * 4
         discard(comp)
         comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
+        if whole:
+            break
     reps = classes.select("set_hash", "rep").join(comp, F.col("rep") == F.col("v"), "left").select("set_hash", F.coalesce("c", "rep").alias("c"))
     out = signed.drop("keys").join(reps, "set_hash", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "doc_id"))
