@@ -259,3 +259,13 @@ select a."check", a.severity, total, sample from (select "check", severity, coun
   select "check", severity, string_agg(line_id, ',' order by line_id) as sample
   from (select *, row_number() over (partition by "check", severity order by line_id, detail) as n from found) where n <= 5 group by all) b using ("check", severity)""",
 }
+
+
+def full(query: str) -> str:
+    """The statement of a query with the cap and neighbours of full runs."""
+    sql = ORACLES[query].replace(hits(ALL, 100), hits(ALL, 10_000))
+    return sql.replace("rnk <= 100", "rnk <= 10000").replace("where n <= 15)", "where n <= 300)")
+
+
+ORACLES |= {f"{q}_full": full(q) for q in ("weak_coverage", "tfidf_topk", "candidate_lists", "coverage_report", "eval_recall")}
+ORACLES |= {"ranked_full": full("ranked_capped"), "candidates_full": full("fallback_merge")}

@@ -15,9 +15,9 @@ from ..functions import features as X
 from ..functions import normalize as N
 from ..operators import blocking, evaluation, fallback, profiling, validation
 from ..sources.tables import slim, split_id_list
-from .candidates import BlockingConfig, generate_candidates
+from .candidates import FULL_RUN, BlockingConfig, generate_candidates
 
-#: A cap that the test tables reach, so that the bounds are exercised.
+#: A cap that the test tables reach, so that the bounds are exercised; the setting of the statements without ``_full``.
 CONFIG = BlockingConfig(candidate_cap=100, tfidf_k=15)
 
 
@@ -122,44 +122,49 @@ def votes(spark: SparkSession, sf_dir: str, cap: int = 10_000) -> DataFrame:
     return blocking.count_votes(blocking.block(s1, pool, cap=cap))
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.rank_votes(votes(spark, sf_dir, CONFIG.candidate_cap), CONFIG.candidate_cap)
+def ranked(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
+    return blocking.rank_votes(votes(spark, sf_dir, config.candidate_cap), config.candidate_cap)
 
 
-def weak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.weak_coverage(sides(spark, sf_dir)[0], ranked(spark, sf_dir), CONFIG.weak_threshold)
+def weak(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
+    return blocking.weak_coverage(sides(spark, sf_dir)[0], ranked(spark, sf_dir, config), config.weak_threshold)
 
 
-def weak_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weak_neighbours(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
     s1, pool = sides(spark, sf_dir)
-    ids = weak(spark, sf_dir).select(F.col("s1_id").alias("entity_id"))
-    return fallback.tfidf_neighbours(s1.join(ids, "entity_id", "left_semi"), pool, CONFIG.tfidf_k, CONFIG.fallback_pool_limit)
+    ids = weak(spark, sf_dir, config).select(F.col("s1_id").alias("entity_id"))
+    return fallback.tfidf_neighbours(s1.join(ids, "entity_id", "left_semi"), pool, config.tfidf_k, config.fallback_pool_limit)
 
 
-def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_neighbours(spark, sf_dir).select("s1_id", "cand_id", "similarity")
+def tfidf_topk(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
+    return weak_neighbours(spark, sf_dir, config).select("s1_id", "cand_id", "similarity")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
     df = normalized(spark, sf_dir)
-    return generate_candidates(source(df, "S1"), source(df, "S2"), source(df, "S3"), CONFIG)
+    return generate_candidates(source(df, "S1"), source(df, "S2"), source(df, "S3"), config)
 
 
-def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = blocking.candidate_lists(sides(spark, sf_dir)[0], ranked(spark, sf_dir))
+def candidate_lists(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
+    lists = blocking.candidate_lists(sides(spark, sf_dir)[0], ranked(spark, sf_dir, config))
     return lists.select("source1_entity_id", F.array_join("candidate_entity_ids", ",").alias("candidate_entity_ids"))
 
 
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.coverage_report(sides(spark, sf_dir)[0], ranked(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+def coverage(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
+    return blocking.coverage_report(sides(spark, sf_dir)[0], ranked(spark, sf_dir, config)).withColumn("mean", F.round("mean", 6))
 
 
-def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eval_recall(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
     s1, pool = sides(spark, sf_dir)
-    out, _ = evaluation.evaluate_blocking(ranked(spark, sf_dir), truth(spark, sf_dir), s1, pool)
+    out, _ = evaluation.evaluate_blocking(ranked(spark, sf_dir, config), truth(spark, sf_dir), s1, pool)
     return out.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
+def full(query):
+    """The query at the setting of full runs."""
+    return lambda spark, sf_dir: query(spark, sf_dir, FULL_RUN)
+
+
 def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = block_of("country_phon")(spark, sf_dir)
     return evaluation.missed_pairs(cands, truth(spark, sf_dir), sides(spark, sf_dir)[0])
@@ -345,6 +350,13 @@ def queries() -> dict:
         "candidate_lists": candidate_lists,
         "coverage_report": coverage,
         "eval_recall": eval_recall,
+        "ranked_full": full(ranked),
+        "weak_coverage_full": full(weak),
+        "tfidf_topk_full": full(tfidf_topk),
+        "candidates_full": full(candidates),
+        "candidate_lists_full": full(candidate_lists),
+        "coverage_report_full": full(coverage),
+        "eval_recall_full": full(eval_recall),
         "missed_pairs": missed_pairs,
         "missed_pair_detail": missed_pair_detail,
         "reduction_ratio": reduction_ratio,

@@ -172,3 +172,16 @@ def test_stream_matches_batch(spark, tmp_path):
     got = {(r.s1_id, r.cand_id, r.votes) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {tuple(r) for r in blocking.count_votes(blocking.block(slim(normalize_records(raw)), slim(pool))).collect()}
     assert got == want and got
+
+
+def test_full_queries_keep_every_candidate(spark):
+    """At sf0.01 records have more than 100 candidates; the full queries lose none and take 300 neighbours."""
+    sf = "/root/testdata/sf0.01"
+    every = {(r.s1_id, r.cand_id): r.votes for r in Q.votes(spark, sf).collect()}
+    most = max(Counter(s for s, _ in every).values())
+    assert most > 100
+    assert {(r.s1_id, r.cand_id): r.votes for r in Q.queries()["ranked_full"](spark, sf).collect()} == every
+    assert Q.queries()["coverage_report_full"](spark, sf).first().most == most
+    out = Q.queries()["candidates_full"](spark, sf).collect()
+    assert {(r.s1_id, r.cand_id) for r in out if r.stage == 0} == every.keys()
+    assert max(Counter(r.s1_id for r in out if r.stage == 1).values()) > 15
