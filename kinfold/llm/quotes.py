@@ -1,10 +1,12 @@
 """Quotation linking for conversations, with DataFrame functions only.
 
 A line's quote level is the number of leading ``>`` marks. Runs of lines of one level are passages; level 0 is the
-message's own text. Quoted passages are normalised (lower case, blanks collapsed) and hashed, and joined to the first
-message of the same conversation whose own text, own passage, paragraph or line has that hash and an earlier turn. The
-parent of a message is the message that its shallowest linked quote comes from (of several, the latest). Following
-parents up gives the thread's first message and the depth; (conv_id, thread_turn, turn) is the reply order: a message
+message's own text. Quoted passages, their paragraphs and their lines are normalised (lower case, blanks collapsed) and
+hashed, and joined to the first message of the same conversation whose own text, own passage, paragraph or line has that
+hash and an earlier turn. A quote is linked if it is found as a whole, or if each of its paragraphs is, whole or line by
+line; it comes from where its longest found piece does (of several, the latest). In a message without such a quote, those
+of which some piece is found count as linked. The parent of a message is the message that its shallowest linked quote
+comes from (of several, the latest; of quotes found in part, the one with the longest piece). Following parents up gives the thread's first message and the depth; (conv_id, thread_turn, turn) is the reply order: a message
 always stands after its parent.
 
 Originals are pre-aggregated to one row (the first turn) for each conversation and hash, so a common line or a hot
@@ -56,17 +58,32 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         array(own_text), transform(filter(passages, p -> p.level = 0), p -> p.body),
         split(own_text, '\\n\\s*\\n'), split(own_text, '\\n'))), x -> {normal("x")}), x -> x <> ''))"""
     originals = keyed.select("conv_id", "turn", F.explode(F.expr(pieces)).alias("piece")).groupBy("conv_id", F.md5("piece").alias("key")).agg(F.min("turn").alias("from_turn"))
-    quoted = keyed.filter("quote_level > 0").select(
-        "conv_id", "turn", F.explode(F.expr(f"filter(transform(filter(passages, p -> p.level > 0), p -> named_struct('level', p.level, 'piece', {normal('p.body')})), q -> q.piece <> '')")).alias("q")
+    quotes = f"filter(transform(filter(passages, p -> p.level > 0), p -> named_struct('level', p.level, 'body', p.body, 'piece', {normal('p.body')})), q -> q.piece <> '')"
+    runs = keyed.filter("quote_level > 0").select("conv_id", "turn", F.explode(F.expr(quotes)).alias("q")).select(
+        "conv_id", "turn", "q.level", "q.body", F.md5("q.piece").alias("quote"), F.md5("q.body").alias("run"), F.expr(r"split(q.body, '\\n\\s*\\n')").alias("paragraphs")
     )
-    quoted = quoted.select("conv_id", "turn", F.col("q.level").alias("level"), F.md5("q.piece").alias("key")).distinct()
+    # kind 0: the whole quote, 1: a paragraph, 2: a line of one.
+    pieces = rf"""filter(flatten(array(
+        array(named_struct('kind', 0, 'paragraph', cast(null as string), 'piece', {normal("body")})),
+        transform(paragraphs, x -> named_struct('kind', 1, 'paragraph', md5(x), 'piece', {normal("x")})),
+        flatten(transform(paragraphs, x -> transform(split(x, '\\n'), y -> named_struct('kind', 2, 'paragraph', md5(x), 'piece', {normal("y")})))))), q -> q.piece <> '')"""
+    quoted = runs.select("conv_id", "turn", "level", "quote", "run", F.explode(F.expr(pieces)).alias("p")).select(
+        "conv_id", "turn", "level", "quote", "run", "p.kind", "p.paragraph", F.length("p.piece").alias("size"), F.md5("p.piece").alias("key")
+    ).distinct()
     linked = quoted.join(originals, ["conv_id", "key"], "left").withColumn("from_turn", F.expr("if(from_turn < turn, from_turn, null)"))
-    parents = linked.groupBy("conv_id", "turn").agg(
+    each = ["conv_id", "turn", "level", "quote"]
+    found = linked.groupBy(*each, "run", "paragraph").agg(
+        F.expr("bool_or(kind < 2 and from_turn is not null) or coalesce(bool_and(if(kind = 2, from_turn is not null, null)), false)").alias("found"),
+        F.max(F.expr("if(from_turn is null, null, struct(size, from_turn))")).alias("best"),
+    )
+    found = found.groupBy(*each, "run").agg(F.expr("bool_or(paragraph is null and found) or bool_and(paragraph is null or found)").alias("found"), F.max("best").alias("best"))
+    found = found.groupBy(*each).agg(F.expr("max(struct(found, best))").alias("f")).select(*each, "f.found", "f.best")
+    parents = found.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_quotes"),
-        F.count("from_turn").alias("n_linked"),
-        F.min(F.expr("if(from_turn is null, null, struct(level, -from_turn as back))")).alias("near"),
+        F.expr("if(count_if(found) > 0, count_if(found), count(best))").alias("n_linked"),
+        F.expr("coalesce(min(if(found, struct(level, -best.from_turn as back), null)).back, min(if(best is null, null, struct(level, -best.size as less, -best.from_turn as back))).back)").alias("back"),
     )
-    parents = materialise(parents.select("conv_id", "turn", "n_quotes", "n_linked", (-F.col("near.back")).alias("parent_turn")), "parents")
+    parents = materialise(parents.select("conv_id", "turn", "n_quotes", "n_linked", (-F.col("back")).alias("parent_turn")), "parents")
     # Pointer jumping: each round doubles the way up; it ends when no message's top has a parent.
     tops = parents.filter("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("top"), F.lit(1).cast("long").alias("depth"))
     while True:

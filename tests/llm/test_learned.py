@@ -197,6 +197,27 @@ def test_quote_links(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_partial_quotes(spark):
+    rows = [
+        (1, 0, "First thing.\n\nSecond\nthing here.\n\nThird thing."),
+        (1, 1, "alpha one\nbeta two\ngamma three\ndelta four"),
+        (1, 2, "> First thing.\n>\n> third  THING.\nTwo of three paragraphs"),
+        (1, 3, "> alpha one\n> beta two\nLines 1-2 of 4"),
+        (1, 4, "> First thing.\n>\n> alpha one\n> beta two\n>\n> Second\n> thing here.\nof two messages"),
+        (1, 5, "> gamma three\n> [...]\n> delta four\nwith a line of its own"),
+        (1, 6, "> alpha one\n> not said\n\n> Third thing.\na quote found in part counts after whole ones"),
+        (1, 7, ">> alpha one\n>> delta four\n> First thing.\n> not said\n> two of three paragraphs\ntwo levels"),
+        (1, 8, "> not said at all\n> nor this\nnothing"),
+        (2, 1, "> alpha one\n> beta two\nother conversation"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.parent_turn, r.thread_turn, r.depth) for r in quotes.link_quotes(df.unionByName(df)).collect()}
+    assert got == {
+        (1, 0): (0, 0, None, 0, 0), (1, 1): (0, 0, None, 1, 0), (1, 2): (1, 1, 0, 0, 1), (1, 3): (1, 1, 1, 1, 1), (1, 4): (1, 1, 0, 0, 1),
+        (1, 5): (1, 1, 1, 1, 1), (1, 6): (2, 1, 0, 0, 1), (1, 7): (2, 1, 1, 1, 1), (1, 8): (1, 0, None, 8, 0), (2, 1): (1, 0, None, 1, 0),
+    }
+
+
 def test_op9(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, Q.op9_quote_links(spark, sf_dir).collect())) == sorted(brute_quotes(rows))
