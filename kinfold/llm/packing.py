@@ -6,6 +6,8 @@ with bitmaps of the duplicate clusters and sources that it holds; the search sta
 goes on to the next wider one until neither bitmap forbids it. A bin holds at most one document of a cluster and
 ``max_per_source`` of a source (one bit plane for each). If no bin is left, a new one opens.
 
+``pack_documents`` takes equal texts (up to case and blanks) as a cluster, ``pack_apart`` near-duplicates too.
+
 Best fit is sequential, so documents are dealt by hash of the id into shards of about ``shard_rows`` documents that are
 packed independently; a hot source or cluster is spread evenly over all shards. Each shard leaves few open bins.
 
@@ -24,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, rows_of, shuffle_width
+from .common import binary_column, materialise, rows_of, shuffle_width
+from .minhash import near_duplicates
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int, max_per_source: int) -> list[tuple[int, int]]:
@@ -75,15 +78,20 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int, max_per_sou
     return out
 
 
+def print_of(text: bytes | None) -> int | None:
+    words = (text or b"").lower().split()
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, cluster (hash of the lower-cased words) and n_tokens (blank-separated words) of every document."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 2000):
-            words = [(t or b"").lower().split() for t in binary_column(batch, "text")]
-            prints = [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) if w else None for w in words]
+            texts = binary_column(batch, "text")
+            sizes = [len((t or b"").lower().split()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), pa.array(prints, pa.int64()), pa.array([len(w) for w in words], pa.int64())],
+                [batch.column("doc_id"), batch.column("source"), pa.array([print_of(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())],
                 ["doc_id", "source", "cluster", "n_tokens"],
             )
 
@@ -131,3 +139,22 @@ def pack(items: DataFrame, n_rows: int, capacity: int = 2048, max_per_source: in
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
     return pack(sized(docs), docs.count(), **options)
+
+
+def near_clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """cluster, component: the smallest hash of the near-duplicates of a text, where that is another one's."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 2000):
+            prints = [print_of(t) for t in binary_column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), batch.column("text")], ["doc_id", "text"])
+
+    # The hash stands for the id, so null and repeated ids have their clusters too.
+    found = near_duplicates(docs.select("text").mapInArrow(mark, "doc_id long, text string"), width, percent)
+    return materialise(found.filter("doc_id <> component_id").groupBy(F.col("doc_id").alias("cluster")).agg(F.min("component_id").alias("component")), "clusters")
+
+
+def pack_apart(docs: DataFrame, **options) -> DataFrame:
+    """pack_documents with near-duplicates (five-word shingles, similarity 0.8 or more) as clusters."""
+    items = sized(docs).join(near_clusters(docs), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
+    return pack(items, docs.count(), **options)

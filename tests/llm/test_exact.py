@@ -338,3 +338,15 @@ def test_packing_cases(spark):
     twins = [r.bin_id for r in out if r.doc_id == 4]
     assert twins[0] != twins[1]
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_near_copies_share_no_bin(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = [" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in (0, 1, 2)]
+    rows = [(1, " ".join(words)), (2, near[0]), (3, near[1]), (None, near[2]), (None, near[2].upper()), (4, "other words " * 50), (5, " ")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    out = [(r.doc_id, r.bin_id) for r in packing.pack_apart(docs).collect()]
+    assert len(out) == 7 and (5, None) in out
+    copies = [b for i, b in out if i in (None, 1, 2, 3)]
+    assert len(copies) == len(set(copies)) == 5 and dict(out)[4] in copies
+    assert packing.pack_apart(docs.limit(0)).count() == 0
