@@ -146,13 +146,12 @@ class LicenceAutomaton:
             by[t].append((start, at, size))
         out = []
         for t, runs in sorted(by.items()):
-            best: list[tuple[int, int, int, int, int]] = []  # covered, document start, end, template end, position
+            best: list[tuple[int, int, int, int]] = []  # covered, document start, end, template end
             top = (0, 0, 0)
             for start, at, size in sorted(runs):
                 covered, first = size, start
-                for c, f, end, t_end in reversed(best[-64:]):
-                    if start - end > gap:
-                        continue
+                best = [b for b in best if start - b[2] <= gap]  # starts only grow, so the others are out of reach for good
+                for c, f, end, t_end in reversed(best):
                     new = size - max(0, end - start, t_end - at)
                     if at + size > t_end and new > 0 and at - t_end <= gap and c + new > covered:
                         covered, first = c + new, f

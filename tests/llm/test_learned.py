@@ -131,6 +131,14 @@ def test_licence_cases(spark):
     assert licences.scan_licences(docs).count() == 8 and licences.scan_licences(docs.limit(0)).count() == 0
 
 
+def test_chains_reach_past_many_runs():
+    head, tail, often = "x1 x2 x3 x4 x5", "y1 y2 y3 y4 y5", "r1 r2 r3 r4 r5"
+    template = " ".join([head, tail, *(f"p{i}" for i in range(20)), *(f"{often} q{i}" for i in range(80))])
+    machine = licences.LicenceAutomaton({"t": template})
+    ((_, start, end, cover),) = machine.chains(ascii_words(f"{head} {often} {tail}".encode()), 5, 12)
+    assert (start, end) == (0, 15) and np.isclose(cover, 10 / len(template.split()))
+
+
 def brute_quotes(rows):
     def norm(t):
         return re.sub(r"\s+", " ", t.lower()).strip(" ")
