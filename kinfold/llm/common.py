@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: A-Z become a-z; digits, a-z and every byte from 0x80 stay; all else separates words.
 WORD_BYTES = bytes(
@@ -83,9 +84,16 @@ def crc_of_id(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+def integer_id(df: DataFrame, name: str = "doc_id") -> F.Column:
+    """The id column as long; ids that are no integers raise, since a cast would make them null."""
+    if not isinstance(df.schema[name].dataType, (IntegralType, NullType)):
+        raise TypeError(f"{name} must be an integer, not {df.schema[name].dataType.simpleString()}")
+    return F.col(name).cast("long")
+
+
+def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id", n: int | None = None) -> DataFrame:
     """All rows, or, if there are more than ``rows``, about so many chosen by the hash of the key."""
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= rows:
         return df
     return df.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))

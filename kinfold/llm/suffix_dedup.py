@@ -8,26 +8,36 @@ have equal anchors, so strings need only meet those of the same anchor, and a su
 corpus needs no place in a suffix array. Neighbouring strings of one anchor occurrence form a context (at most
 2 * length - gram bytes).
 
-1. Scan: find all contexts; equal contexts within a batch keep the first (pre-aggregation, so a hot passage is one row
-   for each batch); deal the rest out by anchor hash as packed columns.
+1. Scan: find all contexts, a row each; equal contexts within a batch keep the first (pre-aggregation, so a hot passage is
+   one row for each batch). Rows are dealt by anchor. A sample of documents (``sample_rows``, or one in 16,384 of them where
+   that is more) names the anchors with very many contexts; their rows are dealt by context instead. That steers where rows
+   go and nothing else: an anchor that it misses has at most some hundred thousand contexts of 40 bytes in one task.
 2. Classes: equal contexts (by two 64-bit hashes) keep the first. Anchors that occur once are done; where several
    different contexts share an anchor, the first of each class is asked for.
-3. Contexts: the asked bytes are cut from the texts and dealt out by anchor hash again.
-4. Shards: whole anchor groups fill a shard; its suffix array is built by induced sorting, its permuted common prefixes
-   give runs of equal strings, and all but the first start of a run are repeats.
-   A common anchor (by a sample of documents, or with more than ``most_contexts`` different contexts) is dealt out by
-   context in step 2 and string by string in step 3, by the strings' own hashes, so no anchor has to fit one task.
-5. Digest: repeated strings meet the texts by document and the covered bytes are cut out.
-
-Defined results: a null text is empty; a text below ``length`` bytes loses nothing; rows that repeat a doc_id count as
-one place and keep or lose the same bytes; a row with a null doc_id is left whole and not compared; ties cannot occur,
-since starts are distinct; an empty table gives an empty result; extra columns are ignored.
+3. Cut: the asked bytes are cut from the texts.
+4. Refine: an anchor with more than ``most_contexts`` different contexts is refined until its groups are small. Its contexts
+   are cut into pieces of strings that stand at like distances from the anchor; all strings of a piece share a longer core
+   around the anchor, which takes the anchor's place. Each round divides the distances by four, equal pieces keep the
+   first, and cores are counted in a pre-aggregated step of their own, so no group is ever gathered.
+5. Shards: whole groups fill a shard of at most ``shard_bytes``; its suffix array is built by induced sorting, its permuted
+   common prefixes give runs of equal strings, and all but the first start of a run are repeats.
+6. Digest: repeated strings meet the texts by document and the covered bytes are cut out.
+
+Texts are scanned in pieces of ``buffer_bytes``, so that a very long one needs no more memory there than many short ones;
+the digest holds one whole text at a time.
+
+Defined results: a null text is empty; a text below ``length`` bytes loses nothing; equal rows of one doc_id count as one
+place and keep or lose the same bytes; different texts of one doc_id are documents of their own, the one with the smaller
+checksum first; a row with a null doc_id is left whole and not compared; a doc_id that is no integer raises TypeError;
+ties cannot occur, since starts are distinct; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +46,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_sample, materialise, shielded, shuffle_width, unshielded
+from .common import bounded_sample, discard, integer_id, materialise, shielded, shuffle_width, unshielded
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
-#: Rows of all shuffles: slot, order within it, document, and packed columns.
-SCHEMA = "kind int, slot int, doc_id long, data binary, body binary"
-TEXT, REPEAT, ASKED, CONTEXT, CUT = 3, 1, 2, 0, 4
+#: Rows of the scan: anchor, context, document and place; a place below 0 is a repeat from its complement to content.
+SCANNED = "key long, content long, doc_id long, at long"
+
+#: Rows of all later steps. REPEAT: string starts from at to key of a document. ASKED: a context without its bytes. PLAIN:
+#: one with them, for a suffix array. PIECE: one to be refined. TEXT: a whole text, its checksum in key.
+SCHEMA = "kind int, key long, content long, doc_id long, at long, body binary"
+REPEAT, ASKED, PLAIN, PIECE, TEXT = range(5)
+
+#: A place holds, from the top: 16 bits of the text's checksum, the first string's start (31), the number of strings (7),
+#: the first string's distance to its anchor (7), and whether the anchor is common (1).
+_START, _TAG = 15, 46
+
+
+def _place(tag, start, n, back, wide) -> np.ndarray:
+    return tag << _TAG | start << _START | n << 8 | back << 1 | wide
+
+
+def _strings(at: np.ndarray) -> np.ndarray:
+    return at >> 8 & 127
+
+
+def checksum(text: bytes) -> int:
+    return zlib.crc32(text) & 0xFFFF
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,22 +93,20 @@ def gram_hashes(buffer: np.ndarray, gram: int) -> np.ndarray:
     return _mix(h)
 
 
-def _covering(h: np.ndarray, lo: np.ndarray, more: np.ndarray, length: int, gram: int, seed: int = 0) -> np.ndarray:
-    """Hashes of the bytes from lo to lo + more + length, from runs that cover them, and of more."""
-    total = more.astype(np.uint64) + np.uint64(seed)
-    reach = more + length - gram
-    for k in range(-(-(2 * length - gram) // gram)):
-        total = (total ^ h[lo + np.minimum(k * gram, reach)]) * _M[k & 1]
+def _covering(h: np.ndarray, start: np.ndarray, size: np.ndarray, gram: int, most: int, seed: np.ndarray | int = 0) -> np.ndarray:
+    """Hashes of ``size`` bytes (gram to most) from each start, from runs that cover them, of the size and of the seed."""
+    total = size.astype(np.uint64) + (np.asarray(seed).astype(np.uint64) << np.uint64(32))
+    for k in range(-(-most // gram)):
+        total = (total ^ h[start + np.minimum(k * gram, size - gram)]) * _M[k & 1]
         total ^= total >> np.uint64(31)
     return _mix(total)
 
 
 def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, context hash, first and last string start of every context of the documents in a buffer."""
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Anchor hash, context hash, first and last string start and the first one's distance to its anchor of every context."""
     long = ends - starts >= length
     if not long.any():
-        return empty
+        return (*(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(3)))
     h = gram_hashes(buffer, gram)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width, size = length - gram + 1, 1
@@ -99,82 +127,61 @@ def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
     last[change] = True
     last[ends[long] - length] = True
     lo, hi = np.flatnonzero(first & valid), np.flatnonzero(last & valid)
-    return h[owner[lo]], _covering(h, lo, hi - lo, length, gram), lo, hi
+    return h[owner[lo]], _covering(h, lo, hi - lo + length, gram, 2 * length - gram), lo, hi, owner[lo] - lo
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _columns(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names)
 
 
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
-    for k in kinds:
-        out.append(np.frombuffer(data, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
-def gathered(parts: list[bytes], *kinds: str) -> list[np.ndarray]:
-    each = [unpack(p, *kinds) for p in parts]
-    return [np.concatenate([e[k] for e in each]) if each else np.zeros(0, kind) for k, kind in enumerate(kinds)]
-
-
-FOUND = ("<u8", "<u8", "<i8", "<u4", "u1")  # anchor, context, document, first start, strings
-SPAN = ("<i8", "<u4", "<u4")  # document, first and last start
-WANT = ("<u8", "<i8", "<u4", "u1", "u1")  # anchor, document, first start, strings, whether the anchor is common
+def _rows(kind: int, key, content, doc, at, body: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(doc)
+    longs = [pa.array(np.ascontiguousarray(c).view(np.int64)) if c is not None else pa.nulls(n, pa.int64()) for c in (key, content, doc, at)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), *longs, pa.nulls(n, pa.binary()) if body is None else body], ["kind", "key", "content", "doc_id", "at", "body"]
+    )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["kind", "slot", "doc_id", "data", "body"])
+def _longs(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).fill_null(0).to_numpy() for c in names]
 
 
-def _dealt(kind: int, slots: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-    """A row of packed columns for each slot that has members; the order of members stays."""
-    order = np.argsort(slots, kind="stable")
-    cuts = np.flatnonzero(np.diff(slots[order], prepend=-1))
-    return [(kind, int(slots[part[0]]), None, pack(*(c[part] for c in columns)), None) for part in np.split(order, cuts[1:]) if len(part)]
+def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    kept = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(kept) if kept else None
 
 
-def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
-    """Starts of repeated strings, merged where they adjoin; sorted by document and start."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+def _repeats(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Places of repeated strings, merged where they adjoin."""
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1)
-    first = np.flatnonzero(new)
-    return [doc[first], lo[first].astype(np.uint32), (np.maximum.reduceat(hi, first) if len(first) else hi).astype(np.uint32)]
-
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > last[:-1] + 1)
+    lead = np.flatnonzero(new)
+    return _rows(REPEAT, np.maximum.reduceat(last, lead) if len(lead) else last, None, doc[lead], first[lead])
 
-def _repeats(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, slots: int) -> list[tuple]:
-    doc, lo, hi = _spans(doc, lo, hi)
-    return _dealt(REPEAT, np.mod(doc, slots), [doc, lo, hi])
 
-
-def _first_of_class(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by (anchor, context, document, start); in it, whether a row is new in its class, and the class's first."""
-    order = np.lexsort((lo, doc, context, anchor))
-    a, c = anchor[order], context[order]
+def _again(key: np.ndarray, content: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(document, first and last place) of rows whose content stands earlier too, and the numbers of the others by class."""
+    order = np.lexsort((at, doc, content, key))
+    a, c = key[order], content[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    return order, new, order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again, first = order[~new], first[~new]
+    place = at >> _START
+    apart = (doc[again] != doc[first]) | (place[again] != place[first])
+    again = again[apart]
+    return (doc[again], place[again], place[again] + _strings(at[again]) - 1), order[new]
 
-def _again(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """(document, first and last start) of contexts that stand earlier too, and the numbers of the others, sorted by class."""
-    order, new, first = _first_of_class(anchor, context, doc, lo)
-    again = order[~new]
-    again = again[(doc[again] != doc[first[~new]]) | (lo[again] != lo[first[~new]])]
-    return (doc[again], lo[again], lo[again].astype(np.int64) + n[again] - 1), order[new]
 
+def find_repeats_in_shard(bodies: list[bytes], doc: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of contexts, and string starts in them, of all strings that a context before has, or the same further left.
 
-def find_repeats_in_shard(contexts: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int]]:
-    """(number of the context, string start in it) of all strings that a context before has, or the same further left.
-
-    contexts: (document, first start, bytes), in the order of document and start.
+    The contexts stand in the order of document and place.
     """
-    sizes = np.array([len(b) for _, _, b in contexts])
-    text = np.frombuffer(b"".join(b for _, _, b in contexts), np.uint8)
+    sizes = np.array([len(b) for b in bodies])
+    text = np.frombuffer(b"".join(bodies), np.uint8)
     sa = suffix_array(text)
     prefixes = permuted_common_prefixes(text, sa, length)
     ends = np.repeat(np.cumsum(sizes), sizes)
@@ -184,15 +191,14 @@ def find_repeats_in_shard(contexts: list[tuple[int, int, bytes]], length: int) -
     kept = whole[sa]
     at, run = sa[kept], run[kept]
     if not len(at):
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.minimum.reduceat(at, cuts := np.flatnonzero(np.diff(run, prepend=-1)))
     first = np.repeat(first, np.diff(np.append(cuts, len(at))))
     number = np.repeat(np.arange(len(sizes)), sizes)
     begin = np.cumsum(sizes) - sizes
-    place = np.array([c[0] for c in contexts]), np.array([c[1] for c in contexts])
     own, other = number[at], number[first]
-    again = (place[0][own] != place[0][other]) | (place[1][own] + at - begin[own] != place[1][other] + first - begin[other])
-    return list(zip(own[again].tolist(), (at - begin[own])[again].tolist(), strict=True))
+    again = (doc[own] != doc[other]) | (place[own] + at - begin[own] != place[other] + first - begin[other])
+    return own[again], (at - begin[own])[again]
 
 
 def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -201,221 +207,265 @@ def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def common_anchors(rows: DataFrame, length: int, gram: int, sample_rows: int, least: int) -> np.ndarray:
+def _segments(texts: list[bytes], length: int, most: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of about ``most`` bytes of (number of the text, start, bytes): texts, the long ones cut so that each string is
+    in one of them."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, max(1, len(text) - length + 1), most):
+            part = text if len(text) < most + length else text[a : a + most + length - 1]
+            if len(part) >= length:
+                group.append((i, a, part))
+                size += len(part)
+            if size >= most:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _scan(batch: pa.RecordBatch, length: int, gram: int, buffer_bytes: int) -> tuple[np.ndarray, ...]:
+    """Key, content, document and place of all contexts of a batch."""
+    ids, texts = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
+    found = [(np.zeros(0, np.int64),) * 4]
+    for group in _segments(texts, length, buffer_bytes):
+        ends = np.cumsum([len(t) for _, _, t in group])
+        starts = np.concatenate(([0], ends[:-1]))
+        key, content, lo, hi, back = contexts(np.frombuffer(b"".join(t for _, _, t in group), np.uint8), starts, ends, length, gram)
+        which = np.searchsorted(ends, lo, "right")
+        number = np.array([i for i, _, _ in group])
+        tags = np.array([checksum(texts[i]) for i, _, _ in group], np.int64)
+        at = _place(tags[which], lo - starts[which] + np.array([a for _, a, _ in group])[which], hi - lo + 1, back, 0)
+        found.append((key.view(np.int64), content.view(np.int64), ids[number][which], at))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def common_anchors(rows: DataFrame, length: int, gram: int, buffer_bytes: int, sample_rows: int, least: int) -> np.ndarray:
     """Anchors with at least ``least`` different contexts in a sample of documents; this only steers where rows go."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                if not texts:
-                    continue
-                ends = np.cumsum([len(t) for t in texts])
-                starts = np.concatenate(([0], ends[:-1]))
-                anchor, context, _, _ = contexts(np.frombuffer(b"".join(texts), np.uint8), starts, ends, length, gram)
-                pairs = np.unique(np.stack((anchor, context), 1), axis=0)
+                key, content, _, _ = _scan(batch, length, gram, buffer_bytes)
+                pairs = np.unique(np.stack((key, content), 1), axis=0)
                 found, n = np.unique(pairs[:, 0], return_counts=True)
                 several = n > 1  # an anchor that is common in the sample is so in some of its batches
-                yield pa.RecordBatch.from_arrays([pa.array(found[several].astype(np.int64), pa.int64()), pa.array(n[several], pa.int64())], ["anchor", "n"])
+                yield _columns(["key", "n"], found[several], n[several])
+
+    n = rows.count()
+    sample = bounded_sample(rows.select("doc_id", "text"), max(sample_rows, n >> 14), n=n)
+    counted = sample.mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64))
+
+
+def refined(key: np.ndarray, doc: np.ndarray, at: np.ndarray, bodies: list[bytes], length: int, gram: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces whose strings stand at the same multiple of ``width`` from the anchor, keyed by the core that the
+    strings of that multiple share; equal pieces keep the first."""
+    buffer = np.frombuffer(b"".join(bodies), np.uint8)
+    begin = np.cumsum([0, *(len(b) for b in bodies[:-1])])
+    back, n = at >> 1 & 127, _strings(at)
+    pieces = back // width - (back - n + 1) // width + 1
+    row = np.repeat(np.arange(len(at)), pieces)
+    bucket = back[row] // width - (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    high = np.minimum(back[row], bucket * width + width - 1)
+    low = np.maximum(back[row] - n[row] + 1, bucket * width)
+    skip = back[row] - high
+    near, far = bucket * width, np.minimum(length - gram, bucket * width + width - 1)
+    with np.errstate(over="ignore"):
+        h = gram_hashes(buffer, gram)
+        core = _covering(h, begin[row] + back[row] - near, length - (far - near), gram, length, (bucket + 1) * 256 + width).view(np.int64)
+        start, size = begin[row] + skip, high - low + length
+        content = _covering(h, start, size, gram, 2 * length - gram).view(np.int64)
+    place = _place(at[row] >> _TAG, (at[row] >> _START & 0x7FFFFFFF) + skip, high - low + 1, high, 0)
+    doc = doc[row]
+    again, one = _again(core, content, doc, place)
+    yield _repeats(*again)
+    raw = buffer.tobytes()
+    body = pa.array([raw[a : a + s] for a, s in zip(start[one].tolist(), size[one].tolist(), strict=True)], pa.binary())
+    yield _rows(PIECE, core[one], content[one], doc[one], place[one], body)
+
+
+def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each text, in order: its document, its row's number and batch, the rows of the document that stand before it as
+    (key, content, at), and its checksum."""
+    now, held = None, []
+
+    def take(doc_id: int, part: list[np.ndarray]) -> None:
+        nonlocal now, held
+        if now != doc_id:
+            now, held = doc_id, []
+        if len(part[0]):
+            held.append(part)
+
+    for batch in batches:
+        kind, key, content, doc, at = _longs(batch, "kind", "key", "content", "doc_id", "at")
+        begin = 0
+        for t in np.flatnonzero(kind == TEXT).tolist():
+            take(int(doc[t]), [c[begin:t] for c in (key, content, at)])
+            begin = t + 1
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 3
+            yield now, t, batch, rows, int(key[t])
+        if begin < len(doc):
+            take(int(doc[begin]), [c[begin:] for c in (key, content, at)])
+
+
+def _squeezed(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """TEXT rows: the compressed text, and the ``keep`` columns pickled in ``rest``."""
 
-    sample = bounded_sample(rows.select("doc_id", "text"), sample_rows)
-    counted = sample.mapInArrow(scan, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.sort(np.array([r.anchor for r in counted.select("anchor").collect()], np.int64).astype(np.uint64))
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            rest = list(zip(*(batch.column(c).to_pylist() for c in keep), strict=True)) or [()] * len(texts)
+            tags = np.array([checksum(t) for t in texts], np.int64)
+            made = _rows(TEXT, tags, None, batch.column("doc_id").to_numpy(), None, pa.array([packer.compress(t) for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.array([pickle.dumps(x) if x else None for x in rest], pa.binary())], [*made.schema.names, "rest"])
 
+    return rows.mapInArrow(squeeze, SCHEMA + ", rest binary")
 
-def repeated_spans(
-    docs: DataFrame, length: int, gram: int, shard_bytes: int, keep: tuple[str, ...] = (), buffer_bytes: int = 2 << 20, sample_rows: int = 8192, most_contexts: int = 2000
-) -> DataFrame:
-    """Rows of packed repeats and, after them in each slot, of packed texts with their ``keep`` columns, dealt by document."""
-    parts = shuffle_width(docs, 2)
-    slots = 4 * parts
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).filter("doc_id is not null")
 
-    common = docs.sparkSession.sparkContext.broadcast(common_anchors(rows, length, gram, sample_rows, 16))
+def repeated_places(rows: DataFrame, texts: DataFrame, parts: int, length: int, gram: int, shard_bytes: int, buffer_bytes: int, sample_rows: int, most_contexts: int) -> DataFrame:
+    """A table of REPEAT rows, of all strings that stand earlier too."""
+    common = rows.sparkSession.sparkContext.broadcast(common_anchors(rows, length, gram, buffer_bytes, sample_rows, 16))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "content", "doc_id", "at"]
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids = batch.column("doc_id").to_numpy()
-                texts = batch.column("text").to_pylist()
-                order = np.argsort(ids, kind="stable").tolist()
-                found: list[list[np.ndarray]] = []
-                at = 0
-                while at < len(order):
-                    to, size = at, 0
-                    while to < len(order) and (size < buffer_bytes or to == at):
-                        size += len(texts[order[to]])
-                        to += 1
-                    part = order[at:to]
-                    sizes = np.array([len(texts[i]) for i in part])
-                    ends = np.cumsum(sizes)
-                    anchor, context, lo, hi = contexts(np.frombuffer(b"".join(texts[i] for i in part), np.uint8), ends - sizes, ends, length, gram)
-                    which = np.searchsorted(ends, lo, "right")
-                    found.append([anchor, context, ids[part][which], (lo - (ends - sizes)[which]).astype(np.uint32), (hi - lo + 1).astype(np.uint8)])
-                    at = to
-                if not found:
-                    continue
-                anchor, context, doc, lo, n = (np.concatenate(c) for c in zip(*found, strict=True))
-                again, one = _again(anchor, context, doc, lo, n)
+                key, content, doc, at = _scan(batch, length, gram, buffer_bytes)
+                again, one = _again(key, content, doc, at)
+                yield _columns(names, again[1], again[2], again[0], ~again[1])
                 one = np.sort(one)
-                by = np.where(_in_sorted(anchor[one], common.value), context[one], anchor[one])
-                out = _dealt(CONTEXT, (by % np.uint64(slots)).astype(np.int64), [anchor[one], context[one], doc[one], lo[one], n[one]])
-                yield _batch(out + _repeats(*again, slots))
+                yield _columns(names, key[one], content[one], doc[one], at[one] | _in_sorted(key[one], common.value))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: list[bytes] = []
+        kept = []
         for batch in batches:
-            through = []
-            for kind, slot, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "slot", "data")), strict=True):
-                if kind == CONTEXT:
-                    blocks.append(data)
-                else:
-                    through.append((kind, slot, None, data, None))
-            yield _batch(through)
-        anchor, context, doc, lo, n = gathered(blocks, *FOUND)
-        blocks.clear()
-        again, one = _again(anchor, context, doc, lo, n)
-        out = _repeats(*again, slots)
-        same = anchor[one][1:] == anchor[one][:-1]
-        several = np.zeros(len(one), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        steered = _in_sorted(anchor[one], common.value)
+            columns = _longs(batch, "key", "content", "doc_id", "at")
+            known = columns[3] < 0
+            yield _repeats(columns[2][known], ~columns[3][known], columns[1][known])
+            kept.append([c[~known] for c in columns])
+        if not kept:
+            return
+        key, content, doc, at = (np.concatenate(c) for c in zip(*kept, strict=True))
+        kept.clear()
+        again, one = _again(key, content, doc, at)
+        yield _repeats(*again)
+        same = key[one][1:] == key[one][:-1]
         group = np.cumsum(np.concatenate(([0], ~same)))[: len(one)]
-        wide = steered | (np.bincount(group)[group] > most_contexts if len(one) else several)
-        several |= steered
-        ask, wide = one[several], wide[several].astype(np.uint8)
-        yield _batch(out + _dealt(ASKED, np.mod(doc[ask], slots), [anchor[ask], doc[ask], lo[ask], n[ask], wide]))
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            rest = list(zip(*(batch.column(c).to_pylist() for c in keep), strict=True)) or [()] * len(ids)
-            yield _batch([(TEXT, i % slots, i, pickle.dumps(x), packer.compress(t)) for i, t, x in zip(ids, batch.column("text").to_pylist(), rest, strict=True)])
+        n = np.bincount(group)[group] if len(one) else group
+        steered = (at[one] & 1).astype(bool)
+        wide = steered | (n > most_contexts)
+        ask = steered | (n > 1)
+        chosen = one[ask]
+        yield _rows(ASKED, key[chosen], content[chosen], doc[chosen], (at[chosen] | 1) - 1 + wide[ask])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        for _, wanted, texts in by_slot(batches):
-            anchor, doc, lo, n, wide = gathered(wanted, *WANT)
-            order = np.lexsort((lo, doc))
-            anchor, doc, lo, n, wide = anchor[order], doc[order], lo[order], n[order], wide[order]
-            taken: list[bytes] = []
-            rows: list[int] = []
-            for i, _, body in texts:
-                a, b = np.searchsorted(doc, i, "left"), np.searchsorted(doc, i, "right")
-                if a < b:
-                    text = expand.decompress(body)
-                    rows.extend(range(a, b))
-                    taken.extend(text[s : s + k + length - 1] for s, k in zip(lo[a:b].tolist(), n[a:b].tolist(), strict=True))
-                if len(rows) > 40_000:
-                    yield _batch(_cuts(anchor, doc, lo, n, wide, rows, taken, slots, length, gram))
-                    rows, taken = [], []
-            if rows:
-                yield _batch(_cuts(anchor, doc, lo, n, wide, rows, taken, slots, length, gram))
+        taken: list[bytes] = []
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            wide = (at & 1).astype(bool)
+            few, many = np.flatnonzero(~wide), np.flatnonzero(wide)
+            yield _rows(PLAIN, key[few], None, doc[few], at[few], pa.array([taken[i] for i in few.tolist()], pa.binary()))
+            if len(many):
+                yield from refined(key[many], doc[many], at[many], [taken[i] for i in many.tolist()], length, gram, widths[0])
+
+        for doc, t, batch, (key, _, at), tag in by_document(batches):
+            own = at >> _TAG == tag
+            key, at = key[own], at[own]
+            if not len(at):
+                continue
+            text = expand.decompress(batch.column("body")[t].as_py())
+            first = at >> _START & 0x7FFFFFFF
+            taken.extend(text[a:b] for a, b in zip(first.tolist(), (first + _strings(at) + length - 1).tolist(), strict=True))
+            held.append((key, np.full(len(at), doc), at))
+            if len(taken) > 40_000:
+                yield from flush()
+                taken, held = [], []
+        if taken:
+            yield from flush()
+
+    def first_of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _gathered(batches)
+        if table is not None:
+            columns = _longs(table, "key", "content", "doc_id", "at")
+            again, one = _again(*columns)
+            yield _repeats(*again)
+            for part in np.array_split(one, len(one) // 10_000 + 1):
+                body = pa.array(table.column("body").take(pa.array(part)).to_pylist(), pa.binary())
+                yield _rows(PIECE, *(c[part] for c in columns), body)
+
+    def refine(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, doc, at, n = _longs(batch, "key", "doc_id", "at", "n")
+                few, many = np.flatnonzero(n <= most_contexts), np.flatnonzero(n > most_contexts)
+                bodies = batch.column("body")
+                yield _rows(PLAIN, key[few], None, doc[few], at[few], bodies.take(pa.array(few)))
+                if len(many):
+                    yield from refined(key[many], doc[many], at[many], bodies.take(pa.array(many)).to_pylist(), length, gram, width)
+
+        return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, bodies, strings = [], [], []
-        for batch in batches:
-            through = []
-            for kind, slot, data, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "slot", "data", "body")), strict=True):
-                if kind == CUT:
-                    blocks.append(data)
-                    bodies.append(body)
-                elif kind == CONTEXT:
-                    strings.append(data)
-                else:
-                    through.append((kind, slot, None, data, None))
-            yield _batch(through)
-        if strings:
-            again, _ = _again(*gathered(strings, *FOUND))
-            yield _batch(_repeats(*again, slots))
-            del strings, again
-        anchor, doc, lo, n, _ = gathered(blocks, *WANT)
-        body = b"".join(bodies)
-        del blocks, bodies
-        size = n.astype(np.int64) + length - 1
-        end = np.cumsum(size)
-        order = np.lexsort((lo, doc, anchor))
-        bounds = np.flatnonzero(np.diff(anchor[order], append=anchor[order][-1:] ^ np.uint64(1))) + 1 if len(order) else []
-        at, docs_out, lo_out = 0, [], []
-        total = np.cumsum(size[order])
-        for b, to in enumerate(bounds):
-            if b + 1 < len(bounds) and total[bounds[b + 1] - 1] - (total[at - 1] if at else 0) <= shard_bytes:
+        table = _gathered(batches)
+        if table is None:
+            return
+        key, doc, at = _longs(table, "key", "doc_id", "at")
+        bodies, place = table.column("body"), at >> _START
+        order = np.lexsort((at, doc, key))
+        bounds = np.flatnonzero(np.diff(key[order], append=~key[order[-1:]])) + 1
+        total = np.cumsum((_strings(at) + length - 1)[order])
+        begin, found = 0, []
+        for b, to in enumerate(bounds.tolist()):
+            if b + 1 < len(bounds) and total[bounds[b + 1] - 1] - (total[begin - 1] if begin else 0) <= shard_bytes:
                 continue
-            part = order[at:to]
-            part = part[np.lexsort((lo[part], doc[part]))]
-            for k, offset in find_repeats_in_shard([(int(doc[i]), int(lo[i]), body[end[i] - size[i] : end[i]]) for i in part], length):
-                docs_out.append(doc[part[k]])
-                lo_out.append(lo[part[k]] + offset)
-            at = to
-        where = np.array(lo_out, np.int64)
-        yield _batch(_repeats(np.array(docs_out, np.int64), where, where, slots))
-
-    scanned = rows.select("doc_id", "text").mapInArrow(scan, SCHEMA).repartition(parts, "slot")
-    classed = materialise(scanned.mapInArrow(classes, SCHEMA), "classes")
-    texts = rows.mapInArrow(squeeze, SCHEMA)
-    meet = classed.filter(F.col("kind") == ASKED).unionByName(texts).repartition(parts, "slot").sortWithinPartitions("slot", "kind")
-    more = meet.mapInArrow(cut, SCHEMA).repartition(parts, "slot").mapInArrow(compare, SCHEMA)
-    more = materialise(more, "repeats")
-    both = classed.filter(F.col("kind") == REPEAT).unionByName(more)
-    return both.unionByName(texts).repartition(parts, "slot").sortWithinPartitions("slot", "kind")
-
-
-def _cuts(anchor, doc, lo, n, wide, rows: list[int], taken: list[bytes], slots: int, length: int, gram: int) -> list[tuple]:
-    """Rows of cut contexts by the slot of their anchor; those of common anchors as strings by the slot of their hash."""
-    out = []
-    at = np.array(rows)
-    if wide[at].any():
-        which = np.flatnonzero(wide[at])
-        n_of = n[at[which]].astype(np.int64)
-        begin = np.concatenate(([0], np.cumsum(n_of + length - 1)))[:-1]
-        inner = np.arange(int(n_of.sum())) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-        start, more = np.repeat(begin, n_of) + inner, np.zeros(len(inner), np.int64)
-        with np.errstate(over="ignore"):
-            h = gram_hashes(np.frombuffer(b"".join(taken[i] for i in which.tolist()), np.uint8), gram)
-            one, two = _covering(h, start, more, length, gram, 1), _covering(h, start, more, length, gram, 2)
-        found = (one, two, np.repeat(doc[at[which]], n_of), (np.repeat(lo[at[which]], n_of) + inner).astype(np.uint32), np.ones(len(inner), np.uint8))
-        again, first = _again(*found)
-        out += _repeats(*again, slots) + _dealt(CONTEXT, (one[first] % np.uint64(slots)).astype(np.int64), [c[first] for c in found])
-        which = np.flatnonzero(wide[at] == 0)
-        at, taken = at[which], [taken[i] for i in which.tolist()]
-    target = (anchor[at] % np.uint64(slots)).astype(np.int64)
-    order = np.argsort(target, kind="stable")
-    cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
-    for part in np.split(order, cuts[1:]) if len(order) else ():
-        r = at[part]
-        out.append((CUT, int(target[part[0]]), None, pack(anchor[r], doc[r], lo[r], n[r], wide[r]), b"".join(taken[i] for i in part.tolist())))
+            part = order[begin:to]
+            part = part[np.lexsort((place[part], doc[part]))]
+            k, offset = find_repeats_in_shard(bodies.take(pa.array(part)).to_pylist(), doc[part], place[part], length)
+            found.append((doc[part[k]], place[part[k]] + offset))
+            begin = to
+        where = np.concatenate([x for _, x in found])
+        yield _repeats(np.concatenate([d for d, _ in found]), where, where)
+
+    widths = [-(-(length - gram + 1) // 4)]
+    while widths[-1] > 1:
+        widths.append(-(-widths[-1] // 4))
+    by = F.expr("case when at < 0 then doc_id when at % 2 = 1 then content else key end")
+    classed = materialise(rows.mapInArrow(scan, SCANNED).repartition(parts, by).mapInArrow(classes, SCHEMA), "classes")
+    meet = classed.filter(F.col("kind") == ASKED).unionByName(texts).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind", "at")
+    tables = [classed, materialise(meet.mapInArrow(cut, SCHEMA), "contexts")]
+    for width in [*widths[1:], 1]:
+        pieces = tables[-1].filter(F.col("kind") == PIECE)
+        if pieces.isEmpty():
+            break
+        firsts = materialise(pieces.repartition(parts, "key", "content").mapInArrow(first_of_class, SCHEMA), "pieces")
+        one = firsts.filter(F.col("kind") == PIECE)
+        # A core that strings of one piece alone have is done.
+        shared = one.join(one.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+        tables += [firsts, materialise(shared.mapInArrow(refine(width), SCHEMA), "refined")]
+    plain = reduce(DataFrame.unionByName, (t.filter(F.col("kind") == PLAIN) for t in tables[1:]))
+    known = reduce(DataFrame.unionByName, (t.filter(F.col("kind") == REPEAT) for t in tables))
+    out = materialise(plain.repartition(parts, "key").mapInArrow(compare, SCHEMA).unionByName(known), "repeats")
+    for t in tables:
+        discard(t)
     return out
 
 
-def by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], Iterator[tuple[int, bytes, bytes]]]]:
-    """For each slot: the packed blocks that stand before its texts, and a stream of the texts."""
-    stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "slot", "doc_id", "data", "body")), strict=True))
-    row = next(stream, None)
-    while row is not None:
-        slot, blocks = row[1], []
-        while row is not None and row[1] == slot and row[0] != TEXT:
-            blocks.append(row[3])
-            row = next(stream, None)
-
-        def texts() -> Iterator[tuple[int, bytes, bytes]]:
-            nonlocal row
-            while row is not None and row[1] == slot:
-                yield row[2], row[3], row[4]
-                row = next(stream, None)
-
-        rest = texts()
-        yield slot, blocks, rest
-        for _ in rest:
-            pass
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = (), most_contexts: int = 2000) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, gram: int = 32, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = (), most_contexts: int = 256, buffer_bytes: int = 2 << 20, sample_rows: int = 8192
+) -> DataFrame:
     """doc_id, the ``keep`` columns, n_bytes, n_removed, n_spans and the kept bytes of every document."""
-    if gram & (gram - 1) or length < 2 * gram or length - gram + 1 > 255:
-        raise ValueError("gram must be a power of two, at most half of length; contexts have at most 255 strings")
-    meet = repeated_spans(docs, length, gram, shard_bytes, keep, most_contexts=most_contexts)
+    if gram & (gram - 1) or length < 2 * gram or length - gram + 1 > 127:
+        raise ValueError("gram must be a power of two, at most half of length; contexts have at most 127 strings")
+    parts = shuffle_width(docs, 2)
+    rows = docs.select(integer_id(docs).alias("doc_id"), *keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).filter("doc_id is not null")
+    texts = _squeezed(rows, keep)
+    found = repeated_places(rows.select("doc_id", "text"), _squeezed(rows.select("doc_id", "text"), ()).drop("rest"), parts, length, gram, shard_bytes, buffer_bytes, sample_rows, most_contexts)
+    meet = found.withColumn("rest", F.lit(None).cast("binary")).unionByName(texts).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind", "at")
     kinds = [f.type for f in to_arrow_schema(docs.select(*keep).schema)]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,18 +477,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, shard_byt
             columns += [pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)] + [pa.array([r[5] for r in rows], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
-        for _, blocks, texts in by_slot(batches):
-            doc, lo, hi = _spans(*gathered(blocks, *SPAN))
-            rows: list[tuple] = []
-            for i, rest, body in texts:
-                text = expand.decompress(body)
-                a, b = np.searchsorted(doc, i, "left"), np.searchsorted(doc, i, "right")
-                kept, spans = cut_out(text, lo[a:b], hi[a:b], length)
-                rows.append((i, pickle.loads(rest), len(text), len(text) - len(kept), spans, kept))
-                if len(rows) >= 1000:
-                    yield made(rows)
-                    rows = []
-            yield made(rows)
+        rows: list[tuple] = []
+        size = 0
+        for doc, t, batch, (last, _, first), tag in by_document(batches):
+            text = expand.decompress(batch.column("body")[t].as_py())
+            own = first >> 31 == tag
+            kept, spans = cut_out(text, first[own] & 0x7FFFFFFF, last[own] & 0x7FFFFFFF, length)
+            rest = batch.column("rest")[t].as_py()
+            rows.append((doc, pickle.loads(rest) if rest else (), len(text), len(text) - len(kept), spans, kept))
+            size += len(kept)
+            if len(rows) >= 1000 or size > 8 * buffer_bytes:
+                yield made(rows)
+                rows, size = [], 0
+        yield made(rows)
 
     own = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -468,7 +519,7 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
 def whole_characters(column: str) -> F.Column:
     """Bytes as text, without the pieces of characters that cutting has left."""
     mended = F.expr(f"make_valid_utf8(cast({column} as string))")
-    return F.translate(mended, "\ufffd", "")
+    return F.translate(mended, "�", "")
 
 
 def cut_out(text: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[bytes, int]:

@@ -119,6 +119,27 @@ def test_suffix_dedup_cases(spark):
     assert set(cut) == {0, 1, 2} and cut[1].text == "1tail" and cut[1].n_chars == 5 and cut[0].text == "é0tail" and cut[2].source == "s2"
 
 
+def test_hot_passage_is_refined(spark):
+    """One passage in every document with its own words around it, by few contexts for each anchor, and a text beyond the buffer."""
+    rng = np.random.default_rng(12)
+    passage = "".join(rng.choice(list("abcdefgh "), 400))
+    rows = [(i, "".join(rng.choice(list("xyzuvw"), 80 + i % 7)) + "\n " + passage[: 400 - i % 3] + "".join(rng.choice(list("rst "), 90))) for i in range(120)]
+    rows.append((500, "".join(f"{k} bottles of beer on the wall, take {k % 7} down and pass them around. " for k in range(400))))
+    rows.append((501, rows[-1][1][5000:9000]))
+    assert repeats(spark, rows, most_contexts=8, buffer_bytes=3000, sample_rows=20) == sorted(brute_repeats(rows))
+
+
+def test_suffix_dedup_ids(spark):
+    """Different texts of one doc_id are documents of their own; ids that are no integers raise."""
+    a, b = "p" * 40 + "first text " * 12, "second " * 30
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, b + "end")]
+    out = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    alone = [next(brute_repeats([(1, t)]))[2] for t in (a, b)]
+    assert out == sorted([(1, len(a), alone[0]), (1, len(b), alone[1]), (1, len(b), alone[1]), (2, len(a), len(a)), (2, len(b) + 3, len(b))])
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
     for n in range(120):
