@@ -1,6 +1,6 @@
 """License scan: a generalised suffix automaton of licence tokens and chained matching statistics.
 
-All templates (as word sequences) go into one suffix automaton. A document is streamed through it word by word, which
+All templates (as word sequences; a label may have several) go into one suffix automaton. A document is streamed through it word by word, which
 gives at each word the length of the longest run of words ending there that occurs in some template (its matching
 statistics). Maximal runs of at least ``min_match`` words are chained, in the order of the template, with gaps of at
 most ``max_gap`` words; a chain covers a span of the document and a share of the template. A template whose covered
@@ -11,7 +11,8 @@ The base phrases are looked up beside that: all places where a phrase's words st
 score is 1 where a base phrase stands, else the largest covered share of a template (0 to 1).
 
 Defined results: a null text is empty (no words, no labels, empty strings, null positions, score 0); ties between
-chains go to the earlier one; repeated rows are scanned each; extra columns are ignored.
+chains go to the earlier one; repeated rows are scanned each; an empty table gives an empty result; a null doc_id stays; of
+a very long text, its words are held beside it and only runs of template words are walked; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,39 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_words, binary_column, rows_of
+from .licence_texts import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Opening or central sentences of well-known public licences, by label.
-TEMPLATES = {
-    "apache": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
-        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
-        on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
-        for the specific language governing permissions and limitations under the License.""",
-    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-        that the following conditions are met: Redistributions of source code must retain the above copyright notice,
-        this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
-        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
-    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
-        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
-        General Public License for more details.""",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
-        associated documentation files (the "Software"), to deal in the Software without restriction, including without
-        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
-        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice shall be included in all copies or substantial portions of
-        the Software.""",
-    "mpl": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
-        was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-}
-
 SCHEMA = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label:string,start:int,end:int,cover:double>>"
@@ -68,14 +41,15 @@ SCHEMA = (
 class LicenceAutomaton:
     """Generalised suffix automaton over the word ids of the templates."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.labels = sorted(templates)
+    def __init__(self, templates: dict[str, list[str]]) -> None:
+        texts = [(label, text) for label in sorted(templates) for text in templates[label]]
+        self.labels = [label for label, _ in texts]
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.ends = [-1], [0], [[]]
         self.sizes = []
-        for t, label in enumerate(self.labels):
-            words = ascii_words(templates[label].encode())
+        for t, (_, text) in enumerate(texts):
+            words = ascii_words(text.encode())
             self.sizes.append(len(words))
             last = 0
             for at, word in enumerate(words):
@@ -176,7 +150,7 @@ def phrase_places(words: list[bytes], phrases: dict[str, str]) -> dict[str, list
 
 def scan_licences(
     docs: DataFrame,
-    templates: dict[str, str] | None = None,
+    templates: dict[str, list[str]] | None = None,
     phrases: dict[str, str] | None = None,
     min_match: int = 5,
     max_gap: int = 12,
@@ -194,7 +168,8 @@ def scan_licences(
         starts = [x for p in places.values() for x in p]
         base = sorted({phrases[p] for p in places})
         chains = sent.value.chains(words, min_match, max_gap)
-        own = [c for c in chains if c[3] >= min_cover]
+        best = {c[0]: c for c in sorted(chains, key=lambda c: c[3])}  # of a label's templates, the one covered best
+        own = [c for _, c in sorted(best.items()) if c[3] >= min_cover]
         score = 1.0 if starts else max([0.0, *(c[3] for c in chains)])
         spans = [{"label": c[0], "start": c[1], "end": c[2], "cover": c[3]} for c in own]
         first, last = (min(starts), max(starts)) if starts else (None, None)
