@@ -6,15 +6,16 @@ hashed, and joined to the first message of the same conversation whose own text,
 hash and an earlier turn. A quote is linked if it is found as a whole, or if each of its paragraphs is, whole or line by
 line; it comes from where its longest found piece does (of several, the latest). In a message without such a quote, those
 of which some piece is found count as linked. The parent of a message is the message that its shallowest linked quote
-comes from (of several, the latest; of quotes found in part, the one with the longest piece). Following parents up gives the thread's first message and the depth; (conv_id, thread_turn, turn) is the reply order: a message
-always stands after its parent.
+comes from (of several, the latest; of quotes found in part, the one with the longest piece). Following parents up gives
+the thread's first message and the depth; (conv_id, thread_turn, turn) is the reply order: a message always stands after
+its parent.
 
 Originals are pre-aggregated to one row (the first turn) for each conversation and hash, so a common line or a hot
 conversation is no group of rows to be joined to each other.
 
 Defined results: a null text is empty; a message without a linked quote starts a thread of its own (parent null, depth
 0); a null conv_id or turn never links; repeated rows stay and have equal results; quotes of empty text are ignored; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; a very long text costs in proportion to its lines; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
+#: transform(array(x), name -> ...)[0] names a value that is used more than once. A run of lines starts where the level
+#: changes, and its lines are cut out in one piece, so the work follows the length of the text.
 _PASSAGES = r"""
-aggregate(
-  transform(split(coalesce(text, ''), '\r?\n'), x -> named_struct(
+transform(array(transform(split(coalesce(text, ''), '\r?\n'), x -> named_struct(
     'level', length(regexp_replace(regexp_extract(x, '^((?:[ \t]*>)*)', 1), '[^>]', '')),
-    'body', regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', ''))),
-  cast(array() as array<struct<level:int,body:string>>),
-  (seen, x) -> if(size(seen) > 0 and try_element_at(seen, -1).level = x.level,
-    concat(slice(seen, 1, size(seen) - 1), array(named_struct('level', x.level, 'body', concat(try_element_at(seen, -1).body, '\n', x.body)))),
-    concat(seen, array(named_struct('level', x.level, 'body', x.body)))))
+    'body', regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', '')))),
+  l -> transform(array(filter(sequence(0, size(l) - 1), i -> i = 0 or get(l, i).level <> get(l, i - 1).level)),
+    s -> transform(s, (i, k) -> named_struct('level', get(l, i).level,
+      'body', array_join(transform(slice(l, i + 1, coalesce(get(s, k + 1), size(l)) - i), x -> x.body), '\n'))))[0])[0]
 """
 
 
@@ -86,14 +87,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     parents = materialise(parents.select("conv_id", "turn", "n_quotes", "n_linked", (-F.col("back")).alias("parent_turn")), "parents")
     # Pointer jumping: each round doubles the way up; it ends when no message's top has a parent.
     tops = parents.filter("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("top"), F.lit(1).cast("long").alias("depth"))
+    tops = materialise(tops, "tops")
     while True:
-        tops = materialise(tops, "tops")
         up = tops.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
         if tops.join(up, ["conv_id", "top"], "left_semi").isEmpty():
             break
-        tops = tops.join(up, ["conv_id", "top"], "left").select(
+        jumped = tops.join(up, ["conv_id", "top"], "left").select(
             "conv_id", "turn", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
         )
+        before, tops = tops, materialise(jumped, "tops")
+        discard(before)
     found = parents.join(tops, ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
     return (
