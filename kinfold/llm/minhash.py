@@ -19,12 +19,15 @@ So no pair is dropped and no group is gathered: hubs are minima of partial aggre
 skewed-join rule.
 
 Defined results: null, empty or blank texts have the empty set and link with nothing; a text of fewer than ``width`` words
-is one shingle; repeated rows of one doc_id are one class; a row with a null doc_id gets a null component and is kept;
-an empty table gives an empty result; extra columns are ignored.
+is one shingle; rows of one doc_id are one document, which links with what any of its texts links with (n_shingles is each
+row's own); a row with a null doc_id gets a null component and is kept; a doc_id that is no integer raises TypeError; an
+empty table gives an empty result; extra columns are ignored. A very long text is split into words piece by piece; what
+stays in memory of it are its hashes, 8 bytes a word a few times over.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,21 +38,35 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, blank_words, discard, materialise, rows_of, shuffle_width
+from .common import binary_column, blank_words, discard, integer_id, materialise, rows_of, shuffle_width
 
+_BLANK = re.compile(rb"\s")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
 
+def word_hashes(text: bytes | None, piece: int = 1 << 22) -> np.ndarray:
+    """Hashes of the words of a text, which is split a piece at a time."""
+    if text and len(text) > piece:
+        parts, at = [], 0
+        while at < len(text):
+            cut = _BLANK.search(text, at + piece)
+            to = cut.start() if cut else len(text)
+            parts.append(word_hashes(text[at:to], to - at))
+            at = to
+        return np.concatenate(parts)
+    words = blank_words(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word runs of a text."""
-    words = blank_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    total = np.full(n, min(width, len(words)), np.uint64)
+    each = word_hashes(text)
+    if not len(each):
+        return each
+    n = max(1, len(each) - width + 1)
+    total = np.full(n, min(width, len(each)), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(min(width, len(words))):
+        for k in range(min(width, len(each))):
             total = (total * _MIX[0] + each[k : k + n]) * _MIX[1]
             total ^= total >> np.uint64(29)
         total *= _MIX[3]
@@ -101,7 +118,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_hash", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -114,7 +131,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array([packer.compress(t or b"") for t in binary_column(batch, "text")], pa.binary())], ["doc_id", "packed"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, packed binary")
+    return docs.mapInArrow(pack, "doc_id long, packed binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, parts: int, group: int = 256) -> DataFrame:
@@ -205,12 +222,46 @@ def prefixes(around: DataFrame, percent: int) -> DataFrame:
     return counted.withColumn("k", rank).filter("k <= most and n > 1").select("hub", "rep", "size", "shingle")
 
 
+def second_texts(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, h, alias): for each further text, by its hash, of a doc_id that stands at different texts, an id of its own.
+
+    These are beyond 2^62 and so larger than the doc_id that they are linked to.
+    """
+    hashed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    first = hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi")
+    first = materialise(first, "several")
+    if first.isEmpty():
+        return None
+    alias = F.xxhash64("doc_id", "h").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    return materialise(hashed.join(first, "doc_id").filter("h > lo").select("doc_id", "h", alias.alias("alias")).distinct(), "aliases")
+
+
+def same_documents(more: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of the texts of one doc_id; a text without words stands for itself."""
+    reps = known.join(classes, "set_hash").select(F.col("doc_id").alias("id"), "rep")
+    pairs = more.select("doc_id", "alias").join(reps, F.col("doc_id") == F.col("id"), "left").select("alias", F.coalesce("rep", "doc_id").alias("a"))
+    pairs = pairs.join(reps, F.col("alias") == F.col("id"), "left").select("a", F.coalesce("rep", "alias").alias("b"))
+    return pairs.filter("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 22, rows: int = 3, wave: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     parts = shuffle_width(docs)
+    docs = docs.select(integer_id(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    more = second_texts(docs)
+    if more is not None:
+        named = docs.withColumn("h", F.xxhash64("text")).join(more, ["doc_id", "h"], "left")
+        docs = named.select(F.coalesce("alias", "doc_id").alias("doc_id"), "text")
+
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
     known = signed.filter("set_hash is not null and doc_id is not null")
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"))
+    own = None if more is None else materialise(same_documents(more, known, classes), "own")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        edges = pairs.filter("linked").select("a", "b")
+        return edges if own is None else edges.unionByName(own)
+
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
     members = materialise(keyed.join(hubs.select("key", "hub"), "key").select("hub", "rep").distinct(), "members")
@@ -224,7 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
 
     near = confirmed(members.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     checked = near.select("a", "b", "linked")
-    comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
+    comp = materialise(components(linked(checked)), "components")
 
     def placed(df: DataFrame) -> DataFrame:
         return df.join(comp, F.col("rep") == F.col("v"), "left").select(*df.columns, F.coalesce("c", "rep").alias("c"))
@@ -240,16 +291,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"]
     checked = materialise(checked.unionByName(around.select(*ordered)).distinct(), "checked")
     discard(comp)
-    comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
+    comp = materialise(components(linked(checked)), "components")
     around = around.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared", (F.col("joined") - F.col("only_a")).alias("size"), "linked", "extra")
     around = around.join(around.groupBy("hub").agg(F.min("size").alias("least_size")), "hub")
     group, sized = ["hub", "shingle"], around.select("hub", "rep", "shared", "size", "linked")
-    own = materialise(prefixes(around, percent), "extra")
+    rare = materialise(prefixes(around, percent), "extra")
     fits = f"x.size * 100 >= y.size * {percent} and y.size * 100 >= x.size * {percent}"
     pair = [F.expr(f"{f}(x.{c}, y.{c})").alias(n) for f, c, n in (("least", "rep", "a"), ("greatest", "rep", "b"), ("least", "c", "c1"), ("greatest", "c", "c2"))]
     while True:
         # Pairs with a common shingle that their hub lacks; never two of the main component of the shingle.
-        at = placed(own)
+        at = placed(rare)
         sizes = at.groupBy(*group, "c").agg(F.count("*").alias("n")).groupBy(*group).agg(F.count("*").alias("k"), F.max_by("c", "n").alias("main"))
         x = at.join(sizes.filter("k > 1").select(*group, "main"), group).filter("c <> main").alias("x")
         pairs = x.join(at.alias("y"), F.expr(f"x.hub = y.hub and x.shingle = y.shingle and x.c <> y.c and {fits}")).select(*pair)
@@ -268,11 +319,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         whole = some.filter(F.col("k") == wave).isEmpty()  # then no pair has been left for another wave
         checked, wave = materialise(checked.unionByName(confirmed(some.select("a", "b")).select("a", "b", "linked")), "checked"), wave * 4
         discard(comp)
-        comp = materialise(components(checked.filter("linked").select("a", "b")), "components")
+        comp = materialise(components(linked(checked)), "components")
         if whole:
             break
     reps = classes.select("set_hash", "rep").join(comp, F.col("rep") == F.col("v"), "left").select("set_hash", F.coalesce("c", "rep").alias("c"))
     out = signed.drop("keys").join(reps, "set_hash", "left")
+    if more is not None:  # texts without words have no class, and so no component but their document's
+        alone = comp.select(F.col("v").alias("doc_id"), F.col("c").alias("own"))
+        names = more.select(F.col("alias").alias("doc_id"), F.col("doc_id").alias("real"))
+        out = out.join(alone, "doc_id", "left").join(names, "doc_id", "left")
+        out = out.withColumn("c", F.coalesce("c", "own", "real")).withColumn("doc_id", F.coalesce("real", "doc_id")).drop("own", "real")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "doc_id"))
     for old in (texts, members):
         discard(old)
@@ -282,4 +338,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each group; all columns stay as they are."""
     gone = materialise(near_duplicates(docs, **options).filter("not kept").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
