@@ -211,6 +211,22 @@ def test_minhash_chains_and_cases(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _, _, k in got if k}
 
 
+def test_minhash_repeated_ids_and_names(spark):
+    """A doc_id at different texts is linked by each of them; null texts too; odd column names stay."""
+    rng = np.random.default_rng(21)
+    a, b, c = ([f"{x}{int(k)}" for k in rng.integers(0, 10**6, 80)] for x in "abc")
+    rows = [(1, a), (1, b), (3, [*b, "z"]), (5, c), (5, b), (7, [*c, "y"]), (8, ["only"]), (8, []), (9, ["only"]), (4, [*a, "x"])]
+    docs = spark.createDataFrame([(i, " ".join(w) or None, n) for n, (i, w) in enumerate(rows)], "doc_id int, text string, `a.b` int")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert out == sorted((i, max(len(w) - 2, min(len(w), 1)), 8 if i > 7 else 1, i in (1, 8)) for i, w in rows)
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 8}
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+    long = " ".join(f"w{k}" for k in range(2000)).encode()
+    assert (minhash.word_hashes(long, 100) == minhash.word_hashes(long)).all()
+
+
 def test_op6_round_trip(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -224,14 +240,20 @@ def test_op6_round_trip(spark, sf_dir):
     assert sorted(map(tuple, Q.op6_token_store(spark, sf_dir).collect())) == want
 
 
-def test_tokenizer_pieces_equal_the_library(tmp_path):
+def test_tokenizer_pieces_equal_the_library():
     import public_tokenizers
 
     path = str(public_tokenizers.path(Q.TOKENIZER))
-    odd = ["", " ", "It's THEY'LL ''s !!'s", "<|endoftext|> x<|y", "naïve ŒUVRE ½ ²³ 12a3 ªº µ", "日本語 text ΟΔΟΣ", "é   a\x1cb \x85c", "İstanbul ß ẞ", "a­b", "a_b-c\t\r\n$%&*", "Ǆ ǅ ŉ"]
+    odd = ["", " ", "It's THEY'LL ''s !!'s 'sound 'S's x're'", "<|endoftext|> x<|y", "naïve ŒUVRE ½ ²³ 12a3 ªº µ", "日本語 text ΟΔΟΣ", "é   a\x1cb \x85c", "İstanbul ß ẞ", "a­b", "a_b-c\t\r\n$%&*", "Ǆ ǅ ŉ", "×÷±«»¿ 3×4", "'", "'l", "'ll", "o'clock'd", "ƁƆ Ⱥ ǀx", "a\u00a0b", "¼'t"]
+    rng = np.random.default_rng(17)
+    odd += ["".join(rng.choice(list("abSTrvemld''  .,-19é×²µÀ\n"), int(rng.integers(1, 60)))) for _ in range(300)]
     tokenizer = token_store.WordTokenizer(path, most=5)
+    want = [tokenizer.library.encode(t, add_special_tokens=False).ids for t in odd]
     for _ in range(2):
-        assert tokenizer.encode(odd) == [np.array(tokenizer.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+        assert [x.tolist() for x in tokenizer.encode([t.encode() for t in odd])] == want
+    assert [x.tolist() for t in odd for x in tokenizer.encode([t.encode()])] == want
+    other = token_store.WordTokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not other.keeps and [x.tolist() for x in other.encode([b"It's", b""])] == [other.library.encode("It's").ids, []]
 
 
 def test_huffman_codes():
@@ -258,10 +280,50 @@ def test_token_store_cases(spark, tmp_path):
     import public_tokenizers
 
     path = str(public_tokenizers.path(Q.TOKENIZER))
-    docs = spark.createDataFrame([(5, "b a", 1), (2, None, 2), (9, "", 3), (-3, "one two", 4)], "doc_id long, text string, start int")
-    out = sorted(map(tuple, token_store.read_token_store(spark, token_store.write_token_store(docs, f"file://{tmp_path}/a", path, 2), keep_ids=True).collect()))
-    assert [r[:3] for r in out] == [(-3, 0, 3), (2, 3, 1), (5, 4, 3), (9, 7, 1)] and out[1][4] == [2]
+    rows = [(5, "b a", 1), (2, None, 2), (9, "", 3), (-3, "one two", 4), (None, "x", 5), (7, "y z", 6), (7, "w", 7), (7, "y z", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
+    out = sorted(map(tuple, token_store.read_token_store(spark, token_store.write_token_store(docs, f"file://{tmp_path}/a", path, 2), keep_ids=True).collect()), key=lambda r: r[1])
+    assert [r[0] for r in out] == [None, -3, 2, 5, 7, 7, 7, 9] and [r[1] for r in out] == np.cumsum([0, *(r[2] for r in out[:-1])]).tolist() and out[2][4] == [2]
+    again = token_store.read_token_store(spark, token_store.write_token_store(docs.repartition(3), f"file://{tmp_path}/c", path, 2), keep_ids=True).collect()
+    assert sorted(map(tuple, again), key=lambda r: r[1]) == out
     assert token_store.read_token_store(spark, token_store.write_token_store(docs.limit(0), f"file://{tmp_path}/b", path, 2)).count() == 0
+    with pytest.raises(TypeError):
+        token_store.write_token_store(docs.withColumn("doc_id", docs.doc_id.cast("string")), f"file://{tmp_path}/d", path, 2)
+
+
+def test_token_store_files(spark, sf_dir, tmp_path):
+    """Files by name, and rows in them, are in ascending doc_id order, and another session reads the store from its path alone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    tokenizer = str(public_tokenizers.path(Q.TOKENIZER))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
+    docs = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 1000))
+    token_store.write_token_store(docs, f"file://{tmp_path}/store", tokenizer, 2)
+    files = sorted(Path(f"{tmp_path}/store/blocks").glob("part-*"))
+    ids = [i for f in files for block in pq.read_table(f)["doc_ids"].to_pylist() for i in block]
+    assert len([f for f in files if pq.read_metadata(f).num_rows]) > 3 and ids == sorted(r.doc_id for r in docs.collect())
+    code = f"""
+import json
+from pyspark.sql import SparkSession
+from kinfold.llm.token_store import read_token_store
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print(json.dumps(sorted(([r.start, r.doc_id, r.ids] for r in read_token_store(s, "file://{tmp_path}/store", True).collect()))))
+"""
+    root = Path(__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    import json
+
+    library, want, start = Tokenizer.from_file(tokenizer), [], 0
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        want.append([start, r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids + [2]])
+        start += len(want[-1][2])
+    assert json.loads(out.strip().splitlines()[-1]) == want
 
 
 def brute_nearest(rows, k, every):

@@ -29,20 +29,60 @@ def test_op3_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and (r.lang_pred in {"de", "en", "es", "fr"} or r.lang_pred == "und") for r in got)
 
 
+def brute_language(model, text):
+    """Word by word, in plain Python, from the tables of a model."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words or not model.langs:
+        return "und", 0.0
+    total = [0.0] * len(model.langs)
+    for word in words:
+        row = [0.0] * len(total)
+        if word in model.words.number:
+            row = model.words.logs[model.words.number[word]]
+        else:
+            for size in (4, 3, 2, 1):
+                padded = f"^{word}$" if size > 1 else word
+                table = model.grams[size - 1]
+                known = [table.logs[table.number[g]] for g in (padded[i : i + size] for i in range(len(padded) - size + 1)) if g in table.number]
+                if known:
+                    row = [sum(c) / len(known) for c in zip(*known, strict=True)]
+                    break
+        total = [x + y for x, y in zip(total, row, strict=True)]
+    share = [np.exp(x - max(total)) for x in total]
+    return model.langs[share.index(max(share))], max(share) / sum(share)
+
+
+def test_op3_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit_language_model(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").select("doc_id", "text", "lang"))
+    want = {r.doc_id: brute_language(model, r.text) for r in docs.collect()}
+    for r in Q.op3_language_id(spark, sf_dir).collect():
+        assert r.lang_pred == want[r.doc_id][0] and np.isclose(r.score, want[r.doc_id][1], atol=1e-6)
+
+
 def test_language_backoff_and_cases(spark):
-    counts = [("aa", "hello", 5), ("aa", "there", 3), ("bb", "hola", 5), ("bb", "senor", 2)]
-    model = langid.BackoffModel(counts)
-    assert model.predict("Hello there")[0] == "aa" and model.predict("holas SENORA")[0] == "bb"
+    train = spark.createDataFrame([(1, "hello " * 5 + "there " * 3, "aa"), (2, "Hola " * 5 + "senor, senor", "bb"), (3, None, "cc"), (4, "x", None)], "doc_id long, text string, lang string")
+    model = langid.fit_language_model(train)
+    assert model.langs == ["aa", "bb"]
+    assert model.predict(["Hello there", "holas SENORA"]) == [brute_language(model, t) for t in ("Hello there", "holas SENORA")]
+    assert [x[0] for x in model.predict(["Hello there", None, "holas SENORA"])] == ["aa", "und", "bb"]
     # An unseen word is scored by its longest known n-grams only: "^hol" is known, so shorter ones do not enter.
-    known = [model.grams[4][g] for g in ("^hol",)]
-    assert np.allclose(model.unseen("holzz"), np.mean(known, axis=0))
-    assert model.predict("中文") == ("aa", 0.5)
-    assert model.predict(None) == model.predict("12 !?") == ("und", 0.0)
+    assert np.allclose(model.unseen(["holzz"])[0], model.grams[3].logs[model.grams[3].number["^hol"]])
+    assert model.predict(["中文"]) == [("aa", 0.5)]
+    assert model.predict([None, "12 !?"]) == [("und", 0.0)] * 2
     docs = spark.createDataFrame([(1, None), (None, "hello"), (2, ""), (2, "hola"), (2, "hola " * 9000)], "doc_id long, text string")
     out = sorted((r.doc_id or 0, r.lang_pred) for r in langid.identify_language(docs, model).collect())
     assert out == [(0, "aa"), (1, "und"), (2, "bb"), (2, "bb"), (2, "und")]
-    empty = langid.fit_language_model(spark.createDataFrame([(1, "hello", None), (2, None, "aa")], "doc_id long, text string, lang string"))
-    assert empty.predict("hello") == ("und", 0.0)
+    empty = langid.fit_language_model(train.filter("text is null or lang is null"))
+    assert empty.predict(["hello"]) == [("und", 0.0)]
+
+
+def test_rare_language_keeps_its_words(spark):
+    rows = [(i, " ".join(f"common{k} shared" for k in range(i, i + 30)), "en") for i in range(9)] + [(10, "zzqa zzqb zzqc shared", "xx")]
+    model = langid.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=8, max_grams=32)
+    assert model.langs == ["en", "xx"] and {"zzqa", "zzqb", "zzqc", "shared"} <= set(model.words.number) and len(model.words.number) <= 8
+    assert model.words.logs[model.words.number["shared"]][0] > model.words.logs[model.words.number["zzqa"]][0]
+    assert [x[0] for x in model.predict(["zzqa zzqb", "common1 common2"])] == ["xx", "en"]
 
 
 def test_op4_held_out_accuracy(spark):
@@ -89,9 +129,10 @@ def brute_statistics(machine, templates, ids):
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_automaton(seed):
     rng = np.random.default_rng(seed)
-    made = {f"t{k}": " ".join(rng.choice(list("abc"), int(rng.integers(1, 14)))) for k in range(4)}
+    made = {f"t{k}": [" ".join(rng.choice(list("abc"), int(rng.integers(1, 14))))] for k in range(4)}
+    made["t1"] += made["t3"]
     machine = licences.LicenceAutomaton(made)
-    texts = [[machine.vocabulary[w] for w in ascii_words(made[k].encode())] for k in machine.labels]
+    texts = [[machine.vocabulary[w] for w in ascii_words(x.encode())] for k in sorted(made) for x in made[k]]
     ids = rng.integers(0, len(machine.vocabulary), 60).tolist()
     stats = machine.matching_statistics(ids)
     assert [n for _, n in stats] == list(brute_statistics(machine, texts, ids))
@@ -118,7 +159,7 @@ def test_op8(spark):
 
 
 def test_licence_cases(spark):
-    apache, mit = licences.TEMPLATES["apache"], licences.TEMPLATES["mit"]
+    apache, mit = licences.TEMPLATES["apache"][0], licences.TEMPLATES["mit"][0]
     edited = mit.replace("without restriction, including", "without any limit at all, including").replace("sublicense", "sub-license")
     rows = [(1, f"/* x */ {edited} int main"), (2, None), (3, ""), (4, "MIT license mit LICENSE"), (5, apache + " ... " + mit), (6, "the of and to in this any for a"), (4, "MIT license mit LICENSE"), (None, "mit license")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, labels string")
@@ -131,10 +172,66 @@ def test_licence_cases(spark):
     assert licences.scan_licences(docs).count() == 8 and licences.scan_licences(docs.limit(0)).count() == 0
 
 
+def brute_chains(templates, words, least, gap):
+    """Best covered share of each template: every maximal run, and every order-keeping chain of runs."""
+    out = []
+    for label in sorted(templates):
+        for text in templates[label]:
+            t = [w.encode() for w in text.split()]
+            runs = set()
+            for i in range(len(words)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(t) and words[i + n] == t[j + n]:
+                        n += 1
+                    # Longest in any template that ends here, as matching statistics give them.
+                    if n >= least and not (i and j and words[i - 1] == t[j - 1]):
+                        runs.add((i, j, n))
+            best = {}
+
+            def cover(run):
+                if run not in best:
+                    i, j, n = run
+                    best[run] = n
+                    for other in runs:
+                        a, b, m = other
+                        new = n - max(0, a + m - i, b + m - j)
+                        if a < i and j + n > b + m and new > 0 and i - a - m <= gap and j - b - m <= gap:
+                            best[run] = max(best[run], cover(other) + new)
+                return best[run]
+
+            if runs:
+                out.append((label, min(1.0, max(map(cover, runs)) / len(t))))
+    return out
+
+
+def test_chains_equal_brute_force():
+    """Templates without shared runs, so that every maximal run of one is one of the matching statistics."""
+    rng = np.random.default_rng(4)
+    for seed in range(30):
+        made = {f"t{k}": [" ".join(f"{k}w{int(x)}" for x in rng.permutation(40))] for k in range(3)}
+        doc = []
+        for _ in range(6):
+            t = made[f"t{int(rng.integers(0, 3))}"][0].split()
+            a = int(rng.integers(0, 30))
+            doc += t[a : a + int(rng.integers(2, 14))] + [f"x{int(x)}" for x in rng.integers(0, 9, int(rng.integers(0, 5)))]
+        words = [w.encode() for w in doc]
+        got = [(c[0], c[3]) for c in licences.LicenceAutomaton(made).chains(words, 3, 6)]
+        assert [x[0] for x in got] == [x[0] for x in brute_chains(made, words, 3, 6)]
+        assert np.allclose([x[1] for x in got], [x[1] for x in brute_chains(made, words, 3, 6)])
+
+
+def test_whole_licences_are_found(spark):
+    rows = [(n, f"Copyright 2020 someone {text}", label) for n, (label, text) in enumerate((k, x) for k, v in licences.TEMPLATES.items() for x in v)]
+    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    for n, _, label in rows:
+        assert label in out[n].labels.split(",") and out[n].score == 1.0
+
+
 def test_chains_reach_past_many_runs():
     head, tail, often = "x1 x2 x3 x4 x5", "y1 y2 y3 y4 y5", "r1 r2 r3 r4 r5"
     template = " ".join([head, tail, *(f"p{i}" for i in range(20)), *(f"{often} q{i}" for i in range(80))])
-    machine = licences.LicenceAutomaton({"t": template})
+    machine = licences.LicenceAutomaton({"t": [template]})
     ((_, start, end, cover),) = machine.chains(ascii_words(f"{head} {often} {tail}".encode()), 5, 12)
     assert (start, end) == (0, 15) and np.isclose(cover, 10 / len(template.split()))
 
@@ -205,6 +302,33 @@ def test_quote_links(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_quoted_threads(spark, seed):
+    """Replies that quote whole messages, paragraphs or lines of earlier ones, at several levels, among quotes of nothing."""
+    rng = np.random.default_rng(seed)
+    rows, word = [], iter(range(10**6))
+    for conv in range(12):
+        own = []
+        for turn in range(int(rng.integers(1, 25))):
+            lines = []
+            for _ in range(int(rng.integers(0, 4)) if own else 0):
+                level = ">" * int(rng.integers(1, 4))
+                source, plain = own[int(rng.integers(0, len(own)))]
+                pick = [source if plain else source.split("\n\n")[-1], source.split("\n\n")[0], source.split("\n")[-1], f"nothing said {next(word)}"][int(rng.integers(0, 4))]
+                lines += [f"{level} {x.upper() if rng.random() < 0.3 else x}" for x in pick.split("\n")] + [f"reply {next(word)}"]
+            paragraphs = ["\n".join(f"line {next(word)}  of {turn}" for _ in range(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(1, 4)))]
+            own.append(("\n\n".join(paragraphs), not lines))
+            rows.append((conv, turn, "user", "\n".join([*lines, *([""] if lines else []), own[-1][0]])))
+    got = sorted(map(tuple, quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()))
+    assert got == sorted(brute_quotes(rows)) and sum(r[7] is not None for r in got) > len(rows) / 4 and max(r[9] for r in got) > 2
+
+
+def test_long_quote_is_linear(spark):
+    text = "\n".join(f"{'> ' * (k % 2)}line {k}" for k in range(20_000))
+    row = quotes.link_quotes(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).first()
+    assert row.n_quotes == 10_000 and row.quote_level == 1 and row.n_linked == 0
+
+
 def test_partial_quotes(spark):
     rows = [
         (1, 0, "First thing.\n\nSecond\nthing here.\n\nThird thing."),
