@@ -207,7 +207,8 @@ def medoids(around: DataFrame) -> DataFrame:
 
 
 def prefixes(around: DataFrame, percent: int) -> DataFrame:
-    """(hub, rep, size, shingle): of the shingles that the hub lacks those in which a linked pair must meet.
+    """(hub, rep, size, shared, own, k, shingle): of the shingles that the hub lacks (own of them, by rarity the k-th) those
+    in which a linked pair must meet.
 
     A member x that shares i shingles with the hub and links with a y of the group shares at least k others with it, k =
     max(1, t / (1 + t) * (|x| + least |y|) - i) unless their common shingles are all the hub's. Taken from the rarest on, the
@@ -216,10 +217,10 @@ def prefixes(around: DataFrame, percent: int) -> DataFrame:
     low = F.greatest(F.col("least_size"), F.ceil(F.col("size") * percent / 100))
     need = F.ceil((F.col("size") + low) * percent / (100 + percent)) - F.col("shared")
     rows = around.withColumn("most", F.size("extra") - F.greatest(F.lit(1), need) + 1).filter("most > 0")
-    rows = rows.select("hub", "rep", "size", "most", F.explode("extra").alias("shingle"))
+    rows = rows.select("hub", "rep", "size", "shared", F.size("extra").alias("own"), "most", F.explode("extra").alias("shingle"))
     counted = rows.join(rows.groupBy("hub", "shingle").agg(F.count("*").alias("n")), ["hub", "shingle"])
     rank = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("n", "shingle"))
-    return counted.withColumn("k", rank).filter("k <= most and n > 1").select("hub", "rep", "size", "shingle")
+    return counted.withColumn("k", rank).filter("k <= most and n > 1").select("hub", "rep", "size", "shared", "own", "k", "shingle")
 
 
 def second_texts(docs: DataFrame) -> DataFrame | None:
@@ -244,11 +245,11 @@ def same_documents(more: DataFrame, known: DataFrame, classes: DataFrame) -> Dat
     return pairs.filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 22, rows: int = 3, wave: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document."""
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 22, rows: int = 3, wave: int = 1024, text_ids: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document; text_ids: equal ids always have equal texts."""
     parts = shuffle_width(docs)
     docs = docs.select(integer_id(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    more = second_texts(docs)
+    more = None if text_ids else second_texts(docs)
     if more is not None:
         named = docs.withColumn("h", F.xxhash64("text")).join(more, ["doc_id", "h"], "left")
         docs = named.select(F.coalesce("alias", "doc_id").alias("doc_id"), "text")
@@ -303,7 +304,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         at = placed(rare)
         sizes = at.groupBy(*group, "c").agg(F.count("*").alias("n")).groupBy(*group).agg(F.count("*").alias("k"), F.max_by("c", "n").alias("main"))
         x = at.join(sizes.filter("k > 1").select(*group, "main"), group).filter("c <> main").alias("x")
-        pairs = x.join(at.alias("y"), F.expr(f"x.hub = y.hub and x.shingle = y.shingle and x.c <> y.c and {fits}")).select(*pair)
+        # If it is the first that they share, they share no more than follow it in both, and the hub's.
+        room = f"least(x.own - x.k, y.own - y.k) + 1 + least(x.shared, y.shared) >= (x.size + y.size) * {percent} / {100 + percent}"
+        pairs = x.join(at.alias("y"), F.expr(f"x.hub = y.hub and x.shingle = y.shingle and x.c <> y.c and {fits} and {room}")).select(*pair)
         # Pairs without one, of which x is far from the hub: y must be small enough.
         at = placed(sized)
         room = f"y.size * {percent} <= x.shared * {100 + percent} - x.size * {percent}"

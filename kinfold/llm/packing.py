@@ -13,7 +13,8 @@ packed independently; a hot source or cluster is spread evenly over all shards.
 
 Defined results: a null or wordless text has one row with 0 tokens and no bin; ties in size go to the smaller doc_id,
 ties in free space to the older bin; a null source or cluster never conflicts; repeated rows are packed each (as one
-cluster they do not share a bin); an empty table gives an empty result; extra columns are ignored.
+cluster they do not share a bin); a doc_id that is no integer raises TypeError; an empty table gives an empty result; a very
+long text has many full pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialise, rows_of, shuffle_width
+from .common import binary_column, integer_id, materialise, rows_of, shuffle_width
 from .minhash import near_duplicates
 
 
@@ -83,20 +84,23 @@ def print_of(text: bytes | None) -> int | None:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, cluster (hash of the lower-cased words) and n_tokens (blank-separated words) of every document."""
+def sized(docs: DataFrame, cluster: F.Column | None = None) -> DataFrame:
+    """doc_id, source, cluster (or else a hash of the lower-cased words) and n_tokens (blank-separated words) of every document."""
+
+    given = [] if cluster is None else [cluster.alias("cluster")]
+    made = not given
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 2000):
             texts = binary_column(batch, "text")
             sizes = [len((t or b"").lower().split()) for t in texts]
+            own = batch.column("cluster") if not made else pa.array([print_of(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), pa.array([print_of(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())],
-                ["doc_id", "source", "cluster", "n_tokens"],
+                [batch.column("doc_id"), batch.column("source"), own, pa.array(sizes, pa.int64())], ["doc_id", "source", "cluster", "n_tokens"]
             )
 
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), "text")
+    rows = docs.select(integer_id(docs).alias("doc_id"), source.alias("source"), *given, F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(measure, "doc_id long, source string, cluster long, n_tokens long")
 
 
@@ -143,18 +147,13 @@ def pack_documents(docs: DataFrame, **options) -> DataFrame:
 
 def near_clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """cluster, component: the smallest hash of the near-duplicates of a text, where that is another one's."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 2000):
-            prints = [print_of(t) for t in binary_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), batch.column("text")], ["doc_id", "text"])
-
     # The hash stands for the id, so null and repeated ids have their clusters too.
-    found = near_duplicates(docs.select("text").mapInArrow(mark, "doc_id long, text string"), width, percent)
+    found = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"), width, percent, text_ids=True)
     return materialise(found.filter("doc_id <> component_id").groupBy(F.col("doc_id").alias("cluster")).agg(F.min("component_id").alias("component")), "clusters")
 
 
 def pack_apart(docs: DataFrame, **options) -> DataFrame:
     """pack_documents with near-duplicates (five-word shingles, similarity 0.8 or more) as clusters."""
-    items = sized(docs).join(near_clusters(docs), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    items = sized(docs, F.xxhash64("text")).join(near_clusters(docs), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
     return pack(items, docs.count(), **options)
