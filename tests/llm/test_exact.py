@@ -412,6 +412,34 @@ def test_op2(spark, sf_dir):
     assert sum(size.values()) > 0.6 * 2048 * len(bins)
 
 
+@pytest.mark.parametrize("apart", (False, True))
+def test_packing_equals_brute_force(spark, apart):
+    """Every shard as one-by-one search over all its bins packs it: conflicts of sources and clusters, tightness, order."""
+    rng = np.random.default_rng(30)
+    base = [f"w{int(k)}" for k in rng.integers(0, 10**6, 60)]
+    rows = [(i, " ".join(f"v{i}x{k}" for k in range(int(rng.integers(0, 90)))), ["hot", "hot", None, "b"][int(rng.integers(0, 4))]) for i in range(300)]
+    rows += [(300 + i, " ".join([*base, f"tail{i}"]), "c") for i in range(20)] + [(400 + i, " ".join(base), f"s{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = (packing.pack_apart if apart else packing.pack_documents)(docs, capacity=64, max_per_source=2, shard_rows=100).collect()
+    text, source = {i: t for i, t, _ in rows}, {i: s for i, _, s in rows}
+    cluster = {i: "near" if apart and i >= 300 else t or None for i, t in text.items()}
+    shards = defaultdict(list)
+    for r in out:
+        if r.bin_id is not None:
+            shards[r.bin_id >> 32].append(r)
+    assert len(shards) > 2
+    total = defaultdict(int)
+    for r in out:
+        total[r.doc_id] += r.n_tokens
+    assert total == {i: len(t.split()) for i, t in text.items()}
+    for shard in shards.values():
+        rests = sorted((r for r in shard if r.n_tokens < 64), key=lambda r: (-r.n_tokens, r.doc_id))
+        want = brute_best_fit([(r.n_tokens, source[r.doc_id], cluster[r.doc_id]) for r in rests], 64, 2)
+        assert [(r.bin_id & 0xFFFFFFFF, r.start) for r in rests] == want
+        full = [r.bin_id for r in shard if r.n_tokens == 64]
+        assert len(full) == len(set(full)) and not set(full) & {r.bin_id for r in rests}
+
+
 def test_packing_cases(spark):
     rows = [(1, "a b c d e f g"), (2, None), (3, ""), (4, "x y"), (4, "x y"), (None, "q")]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).withColumnRenamed("lang", "bin_id")
