@@ -84,41 +84,35 @@ def _induce_buckets(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size:
     return sa
 
 
-def _induce_each(text: list[int], small: list[bool], lms: list[int], size: int) -> list[int]:
-    counts = [0] * size
-    for c in text:
-        counts[c] += 1
-    starts, ends, total = [0] * size, [0] * size, 0
-    for c, n in enumerate(counts):
-        starts[c] = total
-        total += n
-        ends[c] = total
-    sa = [-1] * len(text)
-    tail = ends[:]
-    for p in reversed(lms):
-        tail[text[p]] -= 1
-        sa[tail[text[p]]] = p
-    head = starts[:]
-    for i in range(len(sa)):
-        p = sa[i] - 1
-        if p >= 0 and not small[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = ends[:]
-    for i in range(len(sa) - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and small[p]:
-            c = text[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-    return sa
+def _induce_each(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """The same, one suffix at a time. Free slots hold 0, which induces nothing; slots ahead are filled as they are read."""
+    counts = np.bincount(text, minlength=size)
+    ends = np.cumsum(counts)
+    seeds = np.bincount(text[lms], minlength=size)
+    order = np.argsort(text[lms], kind="stable")
+    chars = text[lms][order]
+    first = np.zeros(len(text), np.int32)
+    first[(ends - seeds)[chars] + np.arange(len(lms)) - (np.cumsum(seeds) - seeds)[chars]] = lms[order]
+    sa = first.tolist()
+    before, larger = text[:-1], ~small[:-1]
+    bucket, head = [-1, *np.where(larger, before, -1).tolist()], (ends - counts).tolist()
+    for p in sa:
+        c = bucket[p]
+        if c >= 0:
+            to = head[c]
+            sa[to] = p - 1
+            head[c] = to + 1
+    bucket, tail = [-1, *np.where(larger, -1, before).tolist()], ends.tolist()
+    for p in reversed(sa):
+        c = bucket[p]
+        if c >= 0:
+            tail[c] = to = tail[c] - 1
+            sa[to] = p - 1
+    return np.array(sa, np.int32)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    if size <= 512:
-        return _induce_buckets(text, small, lms, size)
-    return np.array(_induce_each(text.tolist(), small.tolist(), lms.tolist(), size), np.int32)
+    return (_induce_buckets if size <= 512 else _induce_each)(text, small, lms, size)
 
 
 def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:

@@ -456,7 +456,7 @@ def repeated_places(rows: DataFrame, texts: DataFrame, parts: int, length: int,
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, gram: int = 32, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = (), most_contexts: int = 256, buffer_bytes: int = 2 << 20, sample_rows: int = 8192
+    docs: DataFrame, length: int = 100, gram: int = 32, shard_bytes: int = 1 << 19, keep: tuple[str, ...] = (), most_contexts: int = 256, buffer_bytes: int = 2 << 20, sample_rows: int = 8192
 ) -> DataFrame:
     """doc_id, the ``keep`` columns, n_bytes, n_removed, n_spans and the kept bytes of every document."""
     if gram & (gram - 1) or length < 2 * gram or length - gram + 1 > 127:
