@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,12 +76,11 @@ def postings(pool: DataFrame, keys: tuple[KeySpec, ...], cap: int, truncation: s
     rows = emit_keys(pool.withColumn("_ord", F.struct(F.substring("entity_id", 1, 2), F.col(order_by))), keys, "_ord") if ordinal else emit_keys(pool, keys)
     first = [F.col("_ord")] if ordinal else [F.md5(F.concat_ws("|", "entity_id", "key"))]
     window = Window.partitionBy("key_id", "key").orderBy(*first, "entity_id")
-    by_bound: dict[int, list[str]] = {}
-    for k in keys:
-        by_bound.setdefault(k.bound(cap), []).append(k.id)
-    # A literal bound in each filter lets Spark limit the groups before the shuffle.
-    cut = [rows.filter(F.col("key_id").isin(ids)).withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= n) for n, ids in by_bound.items()]
-    return reduce(DataFrame.unionByName, cut).groupBy("key_id", "key").agg(F.collect_list("entity_id").alias("ids"))
+    bounds = {k.id: k.bound(cap) for k in keys}
+    bound = F.coalesce(*(F.when(F.col("key_id") == k, n) for k, n in bounds.items()))
+    # The literal bound lets Spark limit the groups before the shuffle, the other one is each family's own.
+    cut = rows.withColumn("_n", F.row_number().over(window)).filter((F.col("_n") <= max(bounds.values())) & (F.col("_n") <= bound))
+    return cut.groupBy("key_id", "key").agg(F.collect_list("entity_id").alias("ids"))
 
 
 def block(s1: DataFrame, pool: DataFrame, keys: tuple[KeySpec, ...] = DEFAULT_KEYS, cap: int = 1000, truncation: str = "hash") -> DataFrame:

@@ -43,6 +43,22 @@ def evaluate_blocking(cands: DataFrame, truth: DataFrame, s1: DataFrame, pool: D
     return out, missed_pairs(cands, truth, s1)
 
 
+def recall_gate(cands: DataFrame, truth: DataFrame, s1: DataFrame, pool: DataFrame, target: float = 0.95, json_path: str | None = None, n: int = 30) -> tuple[dict, DataFrame | None]:
+    """The metrics as a dict with ``passed``, and, where recall is below the target, the first n missed pairs in detail.
+
+    They are then also written as JSON lines below json_path (a folder), if it is given.
+    """
+    out, missed = evaluate_blocking(cands, truth, s1, pool)
+    metrics = out.first().asDict()
+    metrics["passed"] = metrics["candidate_recall"] >= target
+    if metrics["passed"]:
+        return metrics, None
+    detail = missed_detail(missed, s1, pool, n)
+    if json_path is not None:
+        detail.orderBy("s1_id", "true_id").coalesce(1).write.mode("overwrite").json(json_path)
+    return metrics, detail
+
+
 def reduction_ratio(total: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     """total has one row with total_candidates; the result adds both sizes and the surviving fraction."""
     sizes = s1.agg(F.count("*").alias("n_s1")).join(pool.agg(F.count("*").alias("n_pool")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blocking, fallback
+from ..sources.staging import materialise
 from ..sources.tables import slim
 
 
@@ -26,11 +27,16 @@ class BlockingConfig:
 FULL_RUN = BlockingConfig(candidate_cap=10_000, tfidf_k=300)
 
 
+def staged_sides(s1: DataFrame, s2: DataFrame, s3: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns that blocking needs, normalised once and written to the shared folder."""
+    return materialise(slim(s1), "s1"), materialise(slim(s2).unionByName(slim(s3)), "pool")
+
+
 def generate_candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     """(s1_id, cand_id, votes, stage, rnk) of normalised records; stage 1 marks fallback candidates."""
-    s1, pool = slim(s1), slim(s2).unionByName(slim(s3))
+    s1, pool = staged_sides(s1, s2, s3)
     votes = blocking.count_votes(blocking.block(s1, pool, config.keys, config.candidate_cap, config.truncation))
-    ranked = blocking.rank_votes(votes, config.candidate_cap)
+    ranked = materialise(blocking.rank_votes(votes, config.candidate_cap), "ranked")
     if not config.run_fuzzy_fallback:
         return ranked.select("s1_id", "cand_id", "votes", F.lit(0).alias("stage"), "rnk")
     weak_ids = blocking.weak_coverage(s1, ranked, config.weak_threshold).select(F.col("s1_id").alias("entity_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.features import ADDRESS_KEY_STOP_WORDS, ADDRESS_STOP_WORDS, NAME_STOP_WORDS
 from ..functions.normalize import ADDRESS_WORDS
+from ..sources.tables import NA_WORDS
 
 
 def _list(words) -> str:
@@ -269,3 +270,17 @@ def full(query: str) -> str:
 
 ORACLES |= {f"{q}_full": full(q) for q in ("weak_coverage", "tfidf_topk", "candidate_lists", "coverage_report", "eval_recall")}
 ORACLES |= {"ranked_full": full("ranked_capped"), "candidates_full": full("fallback_merge")}
+
+
+_NA = ", ".join("'" + w + "'" for w in NA_WORDS)
+_BLANK = "case when {0} is null or {0} in (" + _NA + ") then '' else {0} end as {0}"
+_BUCKET = """trim(country) || '|' || case when (select count(*) from norm z where z.entity_id not like 'S1-%' and trim(z.country) = trim(norm.country)) > 10
+  then lower(normalized_name[1]) else '*' end as c"""
+ORACLES |= {
+    "records_round_trip": f"with {BIZ} select " + ", ".join(_BLANK.format(c) for c in ("entity_id", "business_name", "business_address", "country")) + " from biz",
+    "projected_round_trip": f"with {BIZ} select entity_id, {_BLANK.format('country')} from biz",
+    "match_targets": f"with {BIZ} select entity_id from biz where entity_id not like 'S1-%'",
+    "id_list_round_trip": f"with {BIZ}, {TRUTH} select source1_entity_id as id, matched_entity_ids as ids from truth",
+    "validate_unknown_ids": _check("unknown").replace("where entity_id not like 'S1-%')", "where entity_id not like 'S1-%' and cast(entity_id[4:] as bigint) % 7 <> 3)"),
+    "tfidf_buckets": ORACLES["tfidf_topk"].replace("trim(country) as c", _BUCKET),
+}

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from ..functions import normalize as N
 from ..operators import blocking, evaluation, fallback, profiling, validation
+from ..sources import tables
+from ..sources.staging import materialise, shared_path
 from ..sources.tables import slim, split_id_list
 from .candidates import FULL_RUN, BlockingConfig, generate_candidates
 
@@ -47,7 +49,8 @@ def source(df: DataFrame, *prefixes: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    df = slim(normalized(spark, sf_dir))
+    """Both sides, normalised once and written to the shared folder."""
+    df = materialise(slim(normalized(spark, sf_dir)), "sides")
     return source(df, "S1"), source(df, "S2", "S3")
 
 
@@ -117,23 +120,25 @@ def block_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.count_votes(blocking.block(source(df, "S1"), source(df, "S2", "S3"), keys, 10_000, "ordinal"))
 
 
-def votes(spark: SparkSession, sf_dir: str, cap: int = 10_000) -> DataFrame:
-    s1, pool = sides(spark, sf_dir)
+def votes(spark: SparkSession, sf_dir: str, cap: int = 10_000, pair: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    s1, pool = pair or sides(spark, sf_dir)
     return blocking.count_votes(blocking.block(s1, pool, cap=cap))
 
 
-def ranked(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
-    return blocking.rank_votes(votes(spark, sf_dir, config.candidate_cap), config.candidate_cap)
+def ranked(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG, pair: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return blocking.rank_votes(votes(spark, sf_dir, config.candidate_cap, pair), config.candidate_cap)
 
 
-def weak(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
-    return blocking.weak_coverage(sides(spark, sf_dir)[0], ranked(spark, sf_dir, config), config.weak_threshold)
+def weak(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG, pair: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    pair = pair or sides(spark, sf_dir)
+    return blocking.weak_coverage(pair[0], ranked(spark, sf_dir, config, pair), config.weak_threshold)
 
 
-def weak_neighbours(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
+def weak_neighbours(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG, **options) -> DataFrame:
     s1, pool = sides(spark, sf_dir)
-    ids = weak(spark, sf_dir, config).select(F.col("s1_id").alias("entity_id"))
-    return fallback.tfidf_neighbours(s1.join(ids, "entity_id", "left_semi"), pool, config.tfidf_k, config.fallback_pool_limit)
+    ids = weak(spark, sf_dir, config, (s1, pool)).select(F.col("s1_id").alias("entity_id"))
+    ours = materialise(s1.join(ids, "entity_id", "left_semi"), "weak")
+    return fallback.tfidf_neighbours(ours, pool, config.tfidf_k, config.fallback_pool_limit, **options)
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
@@ -146,17 +151,20 @@ def candidates(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG
 
 
 def candidate_lists(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
-    lists = blocking.candidate_lists(sides(spark, sf_dir)[0], ranked(spark, sf_dir, config))
+    pair = sides(spark, sf_dir)
+    lists = blocking.candidate_lists(pair[0], ranked(spark, sf_dir, config, pair))
     return lists.select("source1_entity_id", F.array_join("candidate_entity_ids", ",").alias("candidate_entity_ids"))
 
 
 def coverage(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
-    return blocking.coverage_report(sides(spark, sf_dir)[0], ranked(spark, sf_dir, config)).withColumn("mean", F.round("mean", 6))
+    pair = sides(spark, sf_dir)
+    return blocking.coverage_report(pair[0], ranked(spark, sf_dir, config, pair)).withColumn("mean", F.round("mean", 6))
 
 
 def eval_recall(spark: SparkSession, sf_dir: str, config: BlockingConfig = CONFIG) -> DataFrame:
     s1, pool = sides(spark, sf_dir)
-    out, _ = evaluation.evaluate_blocking(ranked(spark, sf_dir, config), truth(spark, sf_dir), s1, pool)
+    found = materialise(ranked(spark, sf_dir, config, (s1, pool)), "ranked")
+    out, _ = evaluation.evaluate_blocking(found, truth(spark, sf_dir), s1, pool)
     return out.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
@@ -177,7 +185,7 @@ def missed_pair_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reduction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, pool = sides(spark, sf_dir)
-    total = votes(spark, sf_dir).agg(F.count("*").alias("total_candidates"))
+    total = votes(spark, sf_dir, pair=(s1, pool)).agg(F.count("*").alias("total_candidates"))
     return evaluation.reduction_ratio(total, s1, pool).withColumn("reduction_ratio", F.round("reduction_ratio", 9))
 
 
@@ -271,6 +279,42 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source(biz(spark, sf_dir), "S2", "S3").select("entity_id")
 
 
+def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Business records written as a tab-separated file and read back; missing-value words become ''."""
+    path = shared_path(spark, "records")
+    tables.write_table(biz(spark, sf_dir), path)
+    return tables.read_source(spark, path)
+
+
+def projected_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "records")
+    tables.write_table(biz(spark, sf_dir), path)
+    return tables.read_source(spark, path, ["entity_id", "country"])
+
+
+def match_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ids of the second and third source, from their files."""
+    paths = [shared_path(spark, name) for name in ("S2", "S3")]
+    for path in paths:
+        tables.write_table(source(biz(spark, sf_dir), path.rpartition("/")[2]), path)
+    return tables.read_match_targets(spark, paths)[0]
+
+
+def id_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of true matches as an id-list file, read back."""
+    path, header = shared_path(spark, "lists"), ("source1_entity_id", "matched_entity_ids")
+    rows = truth(spark, sf_dir)
+    tables.write_lists(rows.select("source1_entity_id", tables.parse_matches(F.col("matched_entity_ids")).alias("ids")), path, header)
+    return tables.read_id_list(spark, path).filter(F.col("id") != header[0]).select("id", "ids")
+
+
+def validate_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of unknown ids where a seventh of the ids is unknown."""
+    known = _valid(spark, sf_dir).filter(F.substring("entity_id", 4, 8).cast("long") % 7 != 3)
+    found = validation.unknown_ids(validation.id_rows(id_list_lines(spark, sf_dir)), known)
+    return found.select("check", "severity", "line_id", "detail")
+
+
 def _checked(check):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return check(spark, sf_dir, id_list_lines(spark, sf_dir)).select("check", "severity", "line_id", "detail")
@@ -346,6 +390,7 @@ def queries() -> dict:
         "ranked_capped": ranked,
         "weak_coverage": weak,
         "tfidf_topk": tfidf_topk,
+        "tfidf_buckets": lambda s, d: tfidf_topk(s, d, BlockingConfig(candidate_cap=100, tfidf_k=15, fallback_pool_limit=10)),
         "fallback_merge": candidates,
         "candidate_lists": candidate_lists,
         "coverage_report": coverage,
@@ -372,6 +417,11 @@ def queries() -> dict:
         "seeded_sample": seeded_sample,
         "first_rows": first_rows,
         "lookup_rows": lookup_rows,
+        "records_round_trip": records_round_trip,
+        "projected_round_trip": projected_round_trip,
+        "match_targets": match_targets,
+        "id_list_round_trip": id_list_round_trip,
+        "validate_unknown_ids": validate_unknown_ids,
         "validate_dups": _checked(validate_dups),
         "validate_prefix": _checked(validate_prefix),
         "validate_unknown": _checked(validate_unknown),

@@ -35,15 +35,16 @@ def blank_missing(df: DataFrame, na_words: list[str] | None = None) -> DataFrame
 
 
 def read_source(
-    spark: SparkSession, path: str, columns: list[str] | None = None, na_words: list[str] | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, columns: list[str] | None = None, na_words: list[str] | None = None, multi_line: bool = True, row_ord: bool = False
 ) -> DataFrame:
     """A tab-separated table with a header, all columns as text. A file without quoted line ends can be read split
-    (``multi_line=False``), which spreads a large one over many tasks."""
+    (``multi_line=False``), which spreads a large one over many tasks. row_ord adds a column that grows with the order of rows."""
     head = spark.read.option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("inferSchema", False)
     names = head.csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in names])
     df = head.option("multiLine", multi_line).option("enforceSchema", False).schema(schema).csv(path)
-    return blank_missing(df.select(*(columns or names)), na_words)
+    rows = blank_missing(df.select(*(columns or names)), na_words)
+    return rows.withColumn("row_ord", F.monotonically_increasing_id()) if row_ord else rows
 
 
 def slim(df: DataFrame) -> DataFrame:
@@ -113,9 +114,11 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_lists(lists: DataFrame, path: str, header: tuple[str, str]) -> None:
-    """Lines of id, tab and comma-joined list, unquoted, under a header line, in the order of the frame's first column."""
+    """Lines of id, tab and comma-joined list, unquoted, under a header line, in the order of row_ord, or of the first
+    column where there is none."""
     key, ids = lists.columns[:2]
-    lines = lists.select(F.lit(1).alias("o"), F.col(key).alias("k"), F.concat_ws("\t", F.col(key), F.array_join(F.array_distinct(ids), ",")).alias("value"))
+    by = F.lpad(F.col("row_ord").cast("string"), 19, "0") if "row_ord" in lists.columns else F.col(key)
+    lines = lists.select(F.lit(1).alias("o"), by.alias("k"), F.concat_ws("\t", F.col(key), F.array_join(F.array_distinct(ids), ",")).alias("value"))
     head = lists.sparkSession.createDataFrame([(0, None, "\t".join(header))], "o int, k string, value string")
     head.unionByName(lines.withColumn("k", F.col("k").cast("string"))).orderBy("o", "k").select("value").write.mode("overwrite").text(path)
 
