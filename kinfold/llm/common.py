@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
+from ..sources.staging import materialise, shared_path  # noqa: F401
+
 #: A-Z become a-z; digits, a-z and every byte from 0x80 stay; all else separates words.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -38,27 +38,6 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordB
             yield batch.slice(at, step)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='kinfold-')}"
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/kinfold-{uuid.uuid4().hex}/{name}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a Parquet table in the shared folder and read it back: lineage is cut and survives executors."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised frame once nothing will read it again."""
     spark = df.sparkSession
