@@ -6,8 +6,9 @@ for each shingle, and both its minimum and its maximum enter the signature; the
 (1 - 0.85^3)^22, below 1e-9.
 
 1. Documents with equal sets form one class; its smallest doc_id stands for it. Only representatives have keys.
-2. Representatives that share a key are candidates. First each is compared with the smallest one under its key; the
-   confirmed links give components.
+2. Representatives that share a key are candidates. First each is compared with the hub of its key: the one that shares
+   most keys with others, all in all (the text that copies were made from rather than a copy). The confirmed links give
+   components.
 3. Where the members under a hub fall into several components, all are compared with the group's medoid, and pairs across
    components remain. Let h be the medoid. A pair x, y whose common shingles are all in h has at most i = |x and h| of
    them, so it can link only if |y| <= i (1 + t) / t - |x|; any other pair must meet in the rarest of the shingles that h
@@ -15,7 +16,7 @@ for each shingle, and both its minimum and its maximum enter the signature; the
    wave, until every such pair has been compared or has come to lie in one component.
 4. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
-So no pair is dropped and no group is gathered: hubs are minima of partial aggregates, and hot keys are split by the
+So no pair is dropped and no group is gathered: hubs are maxima of partial aggregates, and hot keys are split by the
 skewed-join rule.
 
 Defined results: null, empty or blank texts have the empty set and link with nothing; a text of fewer than ``width`` words
@@ -264,8 +265,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         return edges if own is None else edges.unionByName(own)
 
     keyed = classes.select("rep", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
-    members = materialise(keyed.join(hubs.select("key", "hub"), "key").select("hub", "rep").distinct(), "members")
+    shared = materialise(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "keyed")
+    known_by = shared.groupBy("rep").agg(F.sum("n").alias("score"))
+    hubs = shared.join(known_by, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
+    members = materialise(shared.join(hubs, "key").select("hub", "rep").distinct(), "members")
+    discard(shared)
     texts = materialise(
         packed_texts(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("packed").alias("packed")), "texts"
     )
@@ -274,23 +278,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         n_a = pairs.groupBy("a").agg(F.count("*").alias("n_a"))
         return materialise(confirm(pairs.join(n_a, "a"), texts, width, percent, parts), "checked")
 
-    near = confirmed(members.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    checked = near.select("a", "b", "linked")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"]
+    near = confirmed(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    checked = near.select(*ordered)
     comp = materialise(components(linked(checked)), "components")
 
     def placed(df: DataFrame) -> DataFrame:
         return df.join(comp, F.col("rep") == F.col("v"), "left").select(*df.columns, F.coalesce("c", "rep").alias("c"))
 
-    # Groups that still have several components go on with their medoid in place of the smallest id.
+    # Groups that still have several components go on with their medoid in place of the hub.
     at = placed(members)
     split = at.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
     around = materialise(near.withColumnRenamed("a", "hub").join(split, "hub", "left_semi"), "around")
     middle = materialise(medoids(around), "medoids")
     pairs = around.select("hub", F.col("b").alias("rep")).unionByName(middle.select("hub", F.col("hub").alias("rep"))).join(middle, "hub")
     pairs = pairs.filter("rep <> medoid").select(F.col("medoid").alias("a"), F.col("rep").alias("b")).distinct()
-    around = confirmed(pairs)
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"]
-    checked = materialise(checked.unionByName(around.select(*ordered)).distinct(), "checked")
+    pairs = materialise(pairs, "pairs")
+    fresh = confirmed(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"))
+    around = near.join(pairs, ["a", "b"], "left_semi").unionByName(fresh)
+    checked = materialise(checked.unionByName(fresh.select(*ordered)).distinct(), "checked")
     discard(comp)
     comp = materialise(components(linked(checked)), "components")
     around = around.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared", (F.col("joined") - F.col("only_a")).alias("size"), "linked", "extra")
