@@ -135,6 +135,16 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, "doc_id long, packed binary")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, small: int = 8 << 20) -> DataFrame:
+    """doc_id and packed text of the ids; up to ``small`` bytes of ids are broadcast, so that no other text is packed or shuffled."""
+    ids = materialise(ids, "wanted")
+    if ids.count() * 8 <= small:
+        found = packed_texts(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
+    else:
+        found = packed_texts(docs).join(ids, "doc_id", "left_semi")
+    return found.groupBy("doc_id").agg(F.max("packed").alias("packed"))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, parts: int, group: int = 256) -> DataFrame:
     """The pairs (a, b) with shared and joined (sizes of intersection and union of their sets), only_a (shingles of a that
     b lacks), extra (those of b that a lacks) and linked.
@@ -270,9 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     hubs = shared.join(known_by, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
     members = materialise(shared.join(hubs, "key").select("hub", "rep").distinct(), "members")
     discard(shared)
-    texts = materialise(
-        packed_texts(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("packed").alias("packed")), "texts"
-    )
+    texts = materialise(texts_of(docs, members.select(F.col("rep").alias("doc_id")).distinct()), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         n_a = pairs.groupBy("a").agg(F.count("*").alias("n_a"))
