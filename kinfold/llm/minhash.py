@@ -9,8 +9,7 @@ for each shingle, and both its minimum and its maximum enter the signature; the
 2. Representatives that share a key are candidates. First each is compared with the hub of its key: the one that shares
    most keys with others, all in all (the text that copies were made from rather than a copy). The confirmed links give
    components.
-3. Where the members under a hub fall into several components, all are compared with the group's medoid, and pairs across
-   components remain. Let h be the medoid. A pair x, y whose common shingles are all in h has at most i = |x and h| of
+3. Where the members under a hub fall into several components, pairs across components remain. Let h be the hub. A pair x, y whose common shingles are all in h has at most i = |x and h| of
    them, so it can link only if |y| <= i (1 + t) / t - |x|; any other pair must meet in the rarest of the shingles that h
    lacks. Pairs that pass one of the two tests are compared in waves, a bounded number for each pair of components in a
    wave, until every such pair has been compared or has come to lie in one component.
@@ -201,22 +200,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(now.select("v", F.col("v").alias("c")).distinct())
 
 
-def medoids(around: DataFrame) -> DataFrame:
-    """(hub, medoid): of each hub and its members the one nearest to their consensus.
-
-    The consensus is the hub's set with the shingles that it lacks and a quarter of the members have. Any choice is right;
-    a good one leaves few pairs to compare.
-    """
-    sizes = around.groupBy("hub").agg(F.count("*").alias("g"), F.max(F.col("shared") + F.col("only_a")).alias("own"))
-    extra = around.select("hub", "b", F.explode("extra").alias("shingle"))
-    common = extra.groupBy("hub", "shingle").agg(F.count("*").alias("n")).join(sizes, "hub").filter("n >= 2 and n * 4 >= g").select("hub", "shingle")
-    gained = extra.join(common, ["hub", "shingle"]).groupBy("hub", "b").agg(F.count("*").alias("more"))
-    score = around.select("hub", "b", "shared", (F.col("joined") - F.col("only_a")).alias("size")).join(gained, ["hub", "b"], "left")
-    score = score.select("hub", F.col("b").alias("rep"), (2 * (F.col("shared") + F.coalesce("more", F.lit(0))) - F.col("size")).alias("near"))
-    score = score.unionByName(sizes.select("hub", F.col("hub").alias("rep"), F.col("own").alias("near")))
-    return score.groupBy("hub").agg(F.max_by("rep", F.struct("near", -F.col("rep"))).alias("medoid"))
-
-
 def prefixes(around: DataFrame, percent: int) -> DataFrame:
     """(hub, rep, size, shared, own, k, shingle): of the shingles that the hub lacks (own of them, by rarity the k-th) those
     in which a linked pair must meet.
@@ -294,21 +277,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     def placed(df: DataFrame) -> DataFrame:
         return df.join(comp, F.col("rep") == F.col("v"), "left").select(*df.columns, F.coalesce("c", "rep").alias("c"))
 
-    # Groups that still have several components go on with their medoid in place of the hub.
+    # Groups that still have several components; every member has been compared with the hub.
     at = placed(members)
-    split = at.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
-    around = materialise(near.withColumnRenamed("a", "hub").join(split, "hub", "left_semi"), "around")
-    middle = materialise(medoids(around), "medoids")
-    pairs = around.select("hub", F.col("b").alias("rep")).unionByName(middle.select("hub", F.col("hub").alias("rep"))).join(middle, "hub")
-    pairs = pairs.filter("rep <> medoid").select(F.col("medoid").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    fresh = confirmed(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"))
-    around = near.join(pairs, ["a", "b"], "left_semi").unionByName(fresh)
-    checked = materialise(checked.unionByName(fresh.select(*ordered)).distinct(), "checked")
-    discard(comp)
-    comp = materialise(components(linked(checked)), "components")
+    split = at.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("hub").alias("a"))
+    around = near.join(split, "a", "left_semi")
     around = around.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "shared", (F.col("joined") - F.col("only_a")).alias("size"), "linked", "extra")
-    around = around.join(around.groupBy("hub").agg(F.min("size").alias("least_size")), "hub")
+    around = materialise(around.join(around.groupBy("hub").agg(F.min("size").alias("least_size")), "hub"), "around")
     group, sized = ["hub", "shingle"], around.select("hub", "rep", "shared", "size", "linked")
     rare = materialise(prefixes(around, percent), "extra")
     fits = f"x.size * 100 >= y.size * {percent} and y.size * 100 >= x.size * {percent}"
@@ -347,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         out = out.join(alone, "doc_id", "left").join(names, "doc_id", "left")
         out = out.withColumn("c", F.coalesce("c", "own", "real")).withColumn("doc_id", F.coalesce("real", "doc_id")).drop("own", "real")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "doc_id"))
-    for old in (texts, members):
+    for old in (texts, members, around, rare):
         discard(old)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
