@@ -211,6 +211,30 @@ def test_minhash_chains_and_cases(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _, _, k in got if k}
 
 
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_minhash_group_around_the_threshold(spark, width, percent):
+    """One group whose members mostly link neither with its hub nor with each other, but some by edits they share."""
+    rng = np.random.default_rng(width)
+    base, rows = [f"w{i}" for i in range(150)], [(900, " ".join(f"w{i}" for i in range(150)))]
+    for i in range(120):
+        words = list(base)
+        for k in rng.integers(0, 150, int(rng.integers(2, 14))):
+            words[int(k)] = f"e{k}v{int(rng.integers(0, 2))}"
+        rows.append((int(i * 7 % 121), " ".join(words[: int(rng.integers(125, 151))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minhash.near_duplicates(docs, width, percent, wave=4).collect()))
+    assert got == brute_components(rows, width, percent)
+    assert 1 < len({r[2] for r in got}) < len(rows)
+
+
+def test_minhash_texts_of_many_candidates(spark):
+    """Beyond the bound of the broadcast the texts are joined by a shuffle, with the same rows."""
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40}") for i in range(80)], "doc_id long, text string")
+    wanted = docs.filter("doc_id % 3 = 0").select("doc_id").distinct()
+    small, large = (sorted((r.doc_id, bytes(r.packed)) for r in minhash.texts_of(docs, wanted, n).collect()) for n in (1 << 20, 0))
+    assert small == large and [d for d, _ in small] == list(range(0, 40, 3))
+
+
 def test_minhash_repeated_ids_and_names(spark):
     """A doc_id at different texts is linked by each of them; null texts too; odd column names stay."""
     rng = np.random.default_rng(21)
