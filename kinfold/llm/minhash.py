@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, blank_words, discard, integer_id, materialise, rows_of, shuffle_width
+from .common import binary_column, blank_words, discard, giving_back, integer_id, materialise, rows_of, shuffle_width
 
 _BLANK = re.compile(rb"\s")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_hash", "keys"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+    return docs.mapInArrow(giving_back(sign), "doc_id long, n_shingles long, set_hash binary, keys array<long>")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array([packer.compress(t or b"") for t in binary_column(batch, "text")], pa.binary())], ["doc_id", "packed"]
             )
 
-    return docs.mapInArrow(pack, "doc_id long, packed binary")
+    return docs.mapInArrow(giving_back(pack), "doc_id long, packed binary")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, small: int = 8 << 20) -> DataFrame:
@@ -174,7 +174,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, parts:
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shared", "joined", "only_a", "extra"])
 
     schema = "a long, b long, shared long, joined long, only_a long, extra array<long>"
-    return rows.mapInArrow(check, schema).withColumn("linked", F.col("shared") * 100 >= F.col("joined") * percent)
+    return rows.mapInArrow(giving_back(check), schema).withColumn("linked", F.col("shared") * 100 >= F.col("joined") * percent)
 
 
 def _are_stars(edges: DataFrame) -> bool:

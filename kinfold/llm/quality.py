@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, bounded_sample, rows_of, shielded, unshielded
+from .common import binary_column, bounded_sample, giving_back, rows_of, shielded, unshielded
 
 _SLOTS: dict[bytes, int] = {}
 _KINDS = bytes(
@@ -124,7 +124,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(made, pa.binary())], ["doc_id", "_y", "x"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    found = sorted(rows.select("doc_id", "_y", "_text", "_chars").mapInArrow(extract, f"doc_id {kinds['doc_id']}, _y {kinds['_y']}, x binary").collect())
+    found = sorted(rows.select("doc_id", "_y", "_text", "_chars").mapInArrow(giving_back(extract), f"doc_id {kinds['doc_id']}, _y {kinds['_y']}, x binary").collect())
     if not found:
         return None
     n_own = STATS
@@ -159,7 +159,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, keep: tup
     kept = [docs.schema[c] for c in ("doc_id", *keep)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
     needed = dict.fromkeys(("doc_id", *keep, "text", *(["n_chars"] if "n_chars" in docs.columns else [])))
-    return docs.select(*needed).mapInArrow(score, schema)
+    return docs.select(*needed).mapInArrow(giving_back(score), schema)
 
 
 def keep_good(docs: DataFrame, model: FactorisationMachine | None, least: float = 0.7) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_sample, discard, integer_id, materialise, shielded, shuffle_width, unshielded
+from .common import bounded_sample, discard, giving_back, integer_id, materialise, shielded, shuffle_width, unshielded
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -254,7 +254,7 @@ def common_anchors(rows: DataFrame, length: int, gram: int, buffer_bytes: int, s
 
     n = rows.count()
     sample = bounded_sample(rows.select("doc_id", "text"), max(sample_rows, n >> 14), n=n)
-    counted = sample.mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = sample.mapInArrow(giving_back(scan), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64))
 
 
@@ -435,21 +435,21 @@ def repeated_places(rows: DataFrame, texts: DataFrame, parts: int, length: int,
     while widths[-1] > 1:
         widths.append(-(-widths[-1] // 4))
     by = F.expr("case when at < 0 then doc_id when at % 2 = 1 then content else key end")
-    classed = materialise(rows.mapInArrow(scan, SCANNED).repartition(parts, by).mapInArrow(classes, SCHEMA), "classes")
+    classed = materialise(rows.mapInArrow(giving_back(scan), SCANNED).repartition(parts, by).mapInArrow(giving_back(classes), SCHEMA), "classes")
     meet = classed.filter(F.col("kind") == ASKED).unionByName(texts).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind", "at")
-    tables = [classed, materialise(meet.mapInArrow(cut, SCHEMA), "contexts")]
+    tables = [classed, materialise(meet.mapInArrow(giving_back(cut), SCHEMA), "contexts")]
     for width in [*widths[1:], 1]:
         pieces = tables[-1].filter(F.col("kind") == PIECE)
         if pieces.isEmpty():
             break
-        firsts = materialise(pieces.repartition(parts, "key", "content").mapInArrow(first_of_class, SCHEMA), "pieces")
+        firsts = materialise(pieces.repartition(parts, "key", "content").mapInArrow(giving_back(first_of_class), SCHEMA), "pieces")
         one = firsts.filter(F.col("kind") == PIECE)
         # A core that strings of one piece alone have is done.
         shared = one.join(one.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-        tables += [firsts, materialise(shared.mapInArrow(refine(width), SCHEMA), "refined")]
+        tables += [firsts, materialise(shared.mapInArrow(giving_back(refine(width)), SCHEMA), "refined")]
     plain = reduce(DataFrame.unionByName, (t.filter(F.col("kind") == PLAIN) for t in tables[1:]))
     known = reduce(DataFrame.unionByName, (t.filter(F.col("kind") == REPEAT) for t in tables))
-    out = materialise(plain.repartition(parts, "key").mapInArrow(compare, SCHEMA).unionByName(known), "repeats")
+    out = materialise(plain.repartition(parts, "key").mapInArrow(giving_back(compare), SCHEMA).unionByName(known), "repeats")
     for t in tables:
         discard(t)
     return out
@@ -497,7 +497,7 @@ def remove_repeats(
     whole = docs.filter("doc_id is null").select(
         F.lit(None).cast("long").alias("doc_id"), *keep, F.length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), text.alias("kept")
     )
-    return meet.mapInArrow(digest, f"doc_id long{own}, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(whole)
+    return meet.mapInArrow(giving_back(digest), f"doc_id long{own}, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(whole)
 
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
