@@ -185,3 +185,12 @@ def test_full_queries_keep_every_candidate(spark):
     out = Q.queries()["candidates_full"](spark, sf).collect()
     assert {(r.s1_id, r.cand_id) for r in out if r.stage == 0} == every.keys()
     assert max(Counter(r.s1_id for r in out if r.stage == 1).values()) > 15
+
+
+def test_neighbours_of_a_large_country_are_not_cut_by_first_character(spark, tmp_path):
+    """More than 20,000 pool records of a country, the nearest of which have other first characters."""
+    rows = [(0, "quorn bazaar", "en"), (1, "bazaar quorn", "en"), (2, "quarn bazar", "en"), (3, "xquorn bazaar", "en")]
+    rows += [(i, f"q{i} ab", "en") for i in range(6, 26_000) if i % 5]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = Q.queries()["tfidf_topk"](spark, str(tmp_path)).orderBy(F.desc("similarity"), "cand_id").collect()
+    assert [r.cand_id for r in near[:3]] == ["S2-00000001", "S3-00000003", "S2-00000002"] and len(near) == 15
