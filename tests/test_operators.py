@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions.normalize import normalize_records
-from kinfold.operators import blocking, evaluation, fallback, profiling
+from kinfold.operators import blocking, evaluation, fallback, profiling, tally
 from kinfold.plans import queries as Q
 from kinfold.plans.candidates import BlockingConfig, generate_candidates
 from kinfold.sources.tables import slim
@@ -194,3 +194,31 @@ def test_neighbours_of_a_large_country_are_not_cut_by_first_character(spark, tmp
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     near = Q.queries()["tfidf_topk"](spark, str(tmp_path)).orderBy(F.desc("similarity"), "cand_id").collect()
     assert [r.cand_id for r in near[:3]] == ["S2-00000001", "S3-00000003", "S2-00000002"] and len(near) == 15
+
+
+def test_tally_equals_block_count_and_rank(spark, sf_dir, monkeypatch):
+    """Counting by units in blocks gives the votes, ranks and counts of a row for each vote, whatever the sizes."""
+    s1, pool = Q.sides(spark, sf_dir)
+    s1 = s1.unionByName(s1.filter("entity_id < 'S1-00000050'"))  # ids that stand twice vote twice
+    copies = s1.withColumn("entity_id", F.concat("entity_id", F.lit("-copy")))  # equal keys: one unit
+    s1, pool = s1.unionByName(copies), pool.unionByName(pool.limit(20))
+    votes = blocking.count_votes(blocking.block(s1, pool, cap=10_000))
+    monkeypatch.setattr(tally, "BLOCK_VOTES", 400)
+    monkeypatch.setattr(tally, "UNIT_RECORDS", 1)
+    staged = tally.stage(s1, pool, cap=10_000)
+    assert staged.n_blocks > 3
+    for keep in (None, 7):
+        want = {tuple(r) for r in blocking.rank_votes(votes, keep or 10**9).select("s1_id", "cand_id", "votes", "rnk").collect()}
+        assert {tuple(r) for r in tally.ranked(staged, keep).collect()} == want
+        assert {tuple(r) for r in tally.candidate_counts(staged, keep).collect()} == set(Counter(r[0] for r in want).items())
+    assert {r.s1_id for r in tally.covered(staged).collect()} == {r[0] for r in want}
+    nothing = tally.stage(s1.limit(0), pool)
+    assert tally.ranked(nothing).count() == 0 and tally.candidate_counts(nothing).count() == 0
+
+
+def test_counting_reads_no_row_for_each_vote(spark, sf_dir):
+    """The plans of counts and lists shuffle posting lists, never pairs."""
+    pair = Q.sides(spark, sf_dir)
+    for df in (Q.coverage(spark, sf_dir), Q.weak(spark, sf_dir, pair=pair), Q.candidate_lists(spark, sf_dir), Q.ranked(spark, sf_dir), Q.reduction_ratio(spark, sf_dir)):
+        plan = df._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInArrow" in plan and "cand_id" not in plan.split("FlatMapGroupsInArrow")[-1] and "Window" not in plan
