@@ -222,3 +222,34 @@ def test_counting_reads_no_row_for_each_vote(spark, sf_dir):
     for df in (Q.coverage(spark, sf_dir), Q.weak(spark, sf_dir, pair=pair), Q.candidate_lists(spark, sf_dir), Q.ranked(spark, sf_dir), Q.reduction_ratio(spark, sf_dir)):
         plan = df._jdf.queryExecution().toString()
         assert "FlatMapGroupsInArrow" in plan and "cand_id" not in plan.split("FlatMapGroupsInArrow")[-1] and "Window" not in plan
+
+
+def test_counts_settled_by_a_single_list(spark, sf_dir, monkeypatch):
+    """A unit with enough distinct ids in one list is not counted; repeats of an id in a list are no further candidates."""
+    s1 = slim(records(spark, [("S1-1", "Alpha Beta", "", "X"), ("S1-2", "Gamma", "", "X"), ("S1-3", "Delta Omega", "", "X")]))
+    pool = slim(records(spark, [(f"S2-{i}", "Alpha Beta", "", "X") for i in (1, 2, 3)] + [("S2-7", "Gamma", "", "X")] * 3))
+    staged = tally.stage(s1, pool)
+    counted, by_unit = [], tally._by_unit
+    monkeypatch.setattr(tally, "_by_unit", lambda staged, *rest: counted.extend(staged.units.collect()) or by_unit(staged, *rest))
+    assert {tuple(r) for r in tally.candidate_counts(staged, 3).collect()} == {("S1-1", 3), ("S1-2", 1)}
+    assert [r.members for r in counted] == [["S1-2"]]
+    assert {tuple(r) for r in tally.candidate_counts(staged, 4).collect()} == {("S1-1", 3), ("S1-2", 1)}
+
+
+def test_weak_coverage_counts_no_further_than_its_threshold(spark, sf_dir, monkeypatch):
+    kept, count = [], tally.candidate_counts
+    monkeypatch.setattr(tally, "candidate_counts", lambda staged, keep=None: kept.append(keep) or count(staged, keep))
+    small = {tuple(r) for r in Q.queries()["weak_coverage_full"](spark, sf_dir).collect()}
+    assert kept == [100] and small and all(n < 100 for _, n in small)
+
+
+def test_blocks_follow_votes_and_not_partitions(spark, monkeypatch):
+    """Each block gets lists of its own, so more partitions must not mean more copies of the lists."""
+    weights = spark.range(1000).selectExpr("id as unit", "1000000L as votes", "1 as largest")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    blocks = []
+    for n in ("200", "3000"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        blocks.append(tally._blocks(weights))
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert blocks == [32, 32]
