@@ -253,3 +253,17 @@ def test_blocks_follow_votes_and_not_partitions(spark, monkeypatch):
         blocks.append(tally._blocks(weights))
     spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert blocks == [32, 32]
+
+
+def test_pairs_leave_a_block_as_rows(spark, sf_dir, monkeypatch):
+    """Pairs come from the block in bounded batches; no array of candidates is exploded for each record."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(tally, "PAIR_ROWS", 2)
+    args = pa.array([["a", "b"], ["c"]]), np.array([2, 1]), np.array([1, 0, 2]), np.array([5, 4, 3]), pa.array(["x", "y", "z"])
+    batches = list(tally._pairs(*args))
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert rows == [("a", "y", 5, 1), ("a", "x", 4, 2), ("b", "y", 5, 1), ("b", "x", 4, 2), ("c", "z", 3, 1)]
+    assert max(map(len, batches)) <= 3 and len(batches) > 1
+    assert "posexplode" not in Q.ranked(spark, sf_dir)._jdf.queryExecution().toString()
