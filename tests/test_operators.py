@@ -267,3 +267,27 @@ def test_pairs_leave_a_block_as_rows(spark, sf_dir, monkeypatch):
     assert rows == [("a", "y", 5, 1), ("a", "x", 4, 2), ("b", "y", 5, 1), ("b", "x", 4, 2), ("c", "z", 3, 1)]
     assert max(map(len, batches)) <= 3 and len(batches) > 1
     assert "posexplode" not in Q.ranked(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_steps_of_a_block_hold_few_votes(monkeypatch):
+    """A block of a million votes in batches of three lists: no batch is much larger than a step, and no step takes 32 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, size, per = 9, 4_000, 30
+    kind = pa.schema([("own", pa.bool_()), ("units", pa.list_(pa.int64())), ("ids", pa.list_(pa.string()))])
+    rows = [(False, list(range(k, k + per)), [f"S2-{i * 7 % 9_973:08}" for i in range(k * 900, k * 900 + size)]) for k in range(n)]
+    rows += [(True, [u], [f"S1-{u:08}"]) for u in reversed(range(n + per))]
+    batches = [pa.record_batch([list(c) for c in zip(*rows[i : i + 3])], schema=kind) for i in range(0, len(rows), 3)]
+    tracemalloc.start()
+    out = list(tally._unit_rows(iter(batches), None, "lists"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {}
+    for _, units, ids in rows[:n]:
+        for u in units:
+            want.setdefault(f"S1-{u:08}", Counter()).update(ids)
+    got = {m: list(zip(r["cands"], r["votes"])) for b in out for r in b.to_pylist() for m in r["members"]}
+    assert got == {m: sorted(c.items(), key=lambda x: (-x[1], x[0])) for m, c in want.items()}
+    assert max(len(b["cands"].flatten()) for b in out) <= tally.STEP_VOTES + n * size and peak < 32 << 20
