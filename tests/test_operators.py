@@ -269,7 +269,8 @@ def test_pairs_leave_a_block_as_rows(spark, sf_dir, monkeypatch):
     assert "posexplode" not in Q.ranked(spark, sf_dir)._jdf.queryExecution().toString()
 
 
-def test_steps_of_a_block_hold_few_votes(monkeypatch):
+@pytest.mark.parametrize("form", ["lists", "pairs", "counts"])
+def test_steps_of_a_block_hold_few_votes(form):
     """A block of a million votes in batches of three lists: no batch is much larger than a step, and no step takes 32 MB."""
     import tracemalloc
 
@@ -281,13 +282,20 @@ def test_steps_of_a_block_hold_few_votes(monkeypatch):
     rows += [(True, [u], [f"S1-{u:08}"]) for u in reversed(range(n + per))]
     batches = [pa.record_batch([list(c) for c in zip(*rows[i : i + 3])], schema=kind) for i in range(0, len(rows), 3)]
     tracemalloc.start()
-    out = list(tally._unit_rows(iter(batches), None, "lists"))
+    out = list(tally._unit_rows(iter(batches), None, form))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     want = {}
     for _, units, ids in rows[:n]:
         for u in units:
             want.setdefault(f"S1-{u:08}", Counter()).update(ids)
-    got = {m: list(zip(r["cands"], r["votes"])) for b in out for r in b.to_pylist() for m in r["members"]}
-    assert got == {m: sorted(c.items(), key=lambda x: (-x[1], x[0])) for m, c in want.items()}
-    assert max(len(b["cands"].flatten()) for b in out) <= tally.STEP_VOTES + n * size and peak < 32 << 20
+    want = {m: sorted(c.items(), key=lambda x: (-x[1], x[0])) for m, c in want.items()}
+    found = [r for b in out for r in b.to_pylist()]
+    if form == "lists":
+        assert {m: list(zip(r["cands"], r["votes"])) for r in found for m in r["members"]} == want
+        assert max(len(b["cands"].flatten()) for b in out) <= tally.STEP_VOTES + n * size
+    elif form == "pairs":
+        assert sorted(tuple(r.values()) for r in found) == sorted((m, c, v, k) for m, x in want.items() for k, (c, v) in enumerate(x, 1))
+    else:
+        assert {m: r["n"] for r in found for m in r["members"]} == {m: len(x) for m, x in want.items()}
+    assert peak < 32 << 20
